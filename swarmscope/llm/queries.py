@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import mixing, packing, sharding
+from swarmscope.llm import lang_id, mixing, packing, quality, sharding
 from swarmscope.llm.storage import save
 
 SHARDS = 16
+QUALITY_LEAST = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), mixing.word_count("text") + 1)
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    voter = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = quality.score(docs.select("doc_id", "text"), voter, "score")
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = lang_id.fit(docs, remainder(4) != 2)
+    named = lang_id.predict(docs.select("doc_id", "text"), trees, "lang_pred", "score")
+    return named.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -33,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_quality, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
