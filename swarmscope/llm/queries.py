@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import lang_id, mixing, packing, quality, sharding
-from swarmscope.llm.storage import save
+from swarmscope.llm import lang_id, mixing, packing, quality, sharding, token_files
+from swarmscope.llm.storage import new_path, save
 
 SHARDS = 16
 QUALITY_LEAST = 0.3
@@ -39,6 +39,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    manifest = token_files.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), path("byte_bpe_50k.json"))
+    return token_files.read(manifest)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = lang_id.fit(docs, remainder(4) != 2)
@@ -53,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_quality, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_quality, op8_token_files, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
