@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import lang_id, mixing, packing, quality, sharding, token_files
+from swarmscope.llm import jaccard_join, lang_id, mixing, packing, quality, sharding, token_files
 from swarmscope.llm.storage import new_path, save
 
 SHARDS = 16
@@ -32,6 +32,10 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     voter = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_quality, op8_token_files, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
