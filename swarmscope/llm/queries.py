@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import jaccard_join, lang_id, mixing, packing, quality, sharding, token_files
+from swarmscope.llm import jaccard_join, lang_id, mixing, ngram_lm, packing, quality, sharding, token_files
 from swarmscope.llm.storage import new_path, save
 
 SHARDS = 16
@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    model = ngram_lm.fit(docs, remainder(7) != 2)
+    scored = ngram_lm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = save(docs.select("doc_id", "source", mixing.word_count("text").alias("size"), mixing.row_hash().alias("row_hash")), "mix-rows")
@@ -27,15 +44,6 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), mixing.word_count("text") + 1)
 
 
-def remainder(divisor: int) -> Column:
-    """crc32 of the doc_id as text, modulo; null for a null id."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
-
-
-def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     voter = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -64,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
