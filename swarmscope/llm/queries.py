@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import jaccard_join, lang_id, mixing, ngram_lm, packing, quality, sharding, token_files
+from swarmscope.llm import ann, jaccard_join, lang_id, mixing, ngram_lm, packing, quality, sharding, token_files
 from swarmscope.llm.storage import new_path, save
 
 SHARDS = 16
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def remainder(divisor: int) -> Column:
     """crc32 of the doc_id as text, modulo; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -72,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_ngram_lm, op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
