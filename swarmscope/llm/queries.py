@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmscope.llm import ann, jaccard_join, lang_id, mixing, ngram_lm, packing, quality, sharding, token_files
+from swarmscope.llm import ann, jaccard_join, lang_id, mixing, ngram_lm, packing, quality, sharding, token_files, vector_dedup
 from swarmscope.llm.storage import new_path, save
 
 SHARDS = 16
@@ -25,6 +25,10 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_ngram_lm, op3_mixing, op4_packing, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_ngram_lm, op3_mixing, op4_packing, op5_vector_dedup, op6_jaccard_join, op7_quality, op8_token_files, op9_language, op10_sharding)}
 
 MIXING_SQL = r"""
 WITH sized AS (
