@@ -1,14 +1,68 @@
-"""A corpus from raw documents, in stages of the training-data operators."""
+"""A corpus from raw documents, in stages of the training-data operators.
+
+Each stage takes what its predecessor kept, whole, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from swarmscope.llm import jaccard_join, lang_id, mixing, packing, quality
+from swarmscope.llm.queries import QUALITY_LEAST, remainder
+from swarmscope.llm.storage import save
+
+SURE_LANGUAGE = 0.5
+SHINGLE, SIMILAR = 5, 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the operator's threshold go."""
+    voter = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
+    return quality.score(docs, voter).where(F.col("quality_score") >= QUALITY_LEAST).select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language for sure, go."""
+    trees = lang_id.fit(docs, remainder(4) != 2)
+    named = lang_id.predict(docs, trees)
+    return named.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("lang_score") >= SURE_LANGUAGE)).select(docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays; rows without an id stay."""
+    groups = jaccard_join.jaccard_join(docs, SHINGLE, SIMILAR)
+    gone = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dedup-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix_sources(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, each with its sequence and place; a word is a token, and each document has an end."""
+    return packing.pack_documents(docs, mixing.word_count("text") + 1)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("dedup", dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Neither classifier can be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

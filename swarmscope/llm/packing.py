@@ -3,7 +3,8 @@
 Documents longer than the largest permitted length are cut into pieces of that length and a rest; no word is dropped.
 Pieces are dealt to groups by hash. In a group, the longest piece goes first, into the open bin with the least room
 that still holds it. If none does, the bin length is opened that costs least for each token it can be expected to
-hold: a length costs its tokens plus ``overhead``, and can hold the piece and what remains unpacked, up to its length.
+hold: a length c costs c + overhead + c^2 / square (its tokens, a fixed price, and attention), and can hold the piece
+and what remains unpacked, up to its length.
 At the end each bin shrinks to the smallest permitted length that holds its contents.
 
 Group sizes are bounded by ``group_pieces`` on average whatever the table holds, since equal rows are told apart by
@@ -24,9 +25,10 @@ from swarmscope.llm.storage import save
 
 PERMITTED = (512, 1024, 2048, 4096)
 OVERHEAD = 64
+SQUARE = 16384
 
 
-def pack(lengths: np.ndarray, permitted: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, permitted: tuple[int, ...], overhead: int, square: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pieces sorted from long to short: each one's bin and offset, and each bin's final length."""
     largest = permitted[-1]
     by_room: list[list[int]] = [[] for _ in range(largest + 1)]
@@ -44,7 +46,7 @@ def pack(lengths: np.ndarray, permitted: tuple[int, ...], overhead: int) -> tupl
         else:
             b = len(opened)
             choices = permitted[bisect_left(permitted, n) :]
-            room = min(choices, key=lambda c: ((c + overhead) / min(c, rest), c))
+            room = min(choices, key=lambda c: ((c + overhead + c * c / square) / min(c, rest), c))
             opened.append(room)
             room_of.append(room)
         bins[i], offsets[i] = b, opened[b] - room
@@ -59,7 +61,7 @@ def pack(lengths: np.ndarray, permitted: tuple[int, ...], overhead: int) -> tupl
 
 
 def pack_documents(
-    docs: DataFrame, length: Column, permitted: tuple[int, ...] = PERMITTED, overhead: int = OVERHEAD, group_pieces: int = 50_000
+    docs: DataFrame, length: Column, permitted: tuple[int, ...] = PERMITTED, overhead: int = OVERHEAD, square: int = SQUARE, group_pieces: int = 50_000
 ) -> DataFrame:
     """doc_id, piece (from 0), start and n_tokens (in the document), sequence (an id), offset in it, and sequence_length.
 
@@ -78,7 +80,7 @@ def pack_documents(
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, sizes = pack(rows["n_tokens"].to_numpy(), permitted, overhead)
+        bins, offsets, sizes = pack(rows["n_tokens"].to_numpy(), permitted, overhead, square)
         return rows.assign(sequence=bins * groups + rows["group"].to_numpy(), offset=offsets, sequence_length=sizes[bins])[
             ["doc_id", "piece", "start", "n_tokens", "sequence", "offset", "sequence_length"]
         ]
