@@ -33,6 +33,18 @@ def unpack_bits(data: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     return (windows(data)[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
 
 
+def small(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those of 255 and more apart."""
+    big = np.flatnonzero(values >= 255)
+    return {"bytes": np.minimum(values, 255).astype(np.uint8), "at": big.astype(np.int64), "big": values[big].astype(np.int64)}
+
+
+def unsmall(stored: dict, name: str) -> np.ndarray:
+    out = stored[f"{name}.bytes"].astype(np.int64)
+    out[stored[f"{name}.at"]] = stored[f"{name}.big"]
+    return out
+
+
 @dataclass
 class EliasFano:
     n: int

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmscope.llm import words as W
-from swarmscope.llm.elias_fano import EliasFano, pack_bits, unpack_bits
+from swarmscope.llm.elias_fano import EliasFano, pack_bits, small, unpack_bits, unsmall
 from swarmscope.llm.files import map_arrays, write_arrays
-from swarmscope.llm.storage import new_path, save
+from swarmscope.llm.storage import discard, drop, new_path, release, save
 
 END = int(W.mix(np.array([0xE4D], np.uint64))[0])
 DISCOUNT = 0.75
@@ -240,6 +240,8 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0][some].view(np.int64)), pa.array(pair[1][some].view(np.int64))], ["a", "b"])
 
     pairs = sampled.mapInArrow(thinned, "a long, b long").toPandas().to_numpy(np.int64).reshape(-1, 2).view(np.uint64)
+    drop(parts)
+    release(train.sparkSession)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     pieces = max(1, -(-tokens // tokens_per_shard))
     cuts = np.unique(pairs[[len(pairs) * i // pieces for i in range(1, pieces)]], axis=0) if len(pairs) and pieces > 1 else np.zeros((0, 2), np.uint64)
@@ -327,8 +329,13 @@ def build(train: DataFrame, model: Model) -> Model:
     model.first_keys = ids[np.searchsorted(flat, model.cuts)] if len(model.cuts) else np.zeros((0, 2), np.int64)
     sent = spark.sparkContext.broadcast(model)
 
+    wide = int(words).bit_length()
+
+    def write_raw(shard: int, owner: np.ndarray, third: np.ndarray, count: np.ndarray, n: int) -> None:
+        offsets = EliasFano.of(np.searchsorted(owner, np.arange(n + 1)), SAMPLE)
+        write_arrays(f"{folder}/raw-{shard:06d}", {"pointers": offsets, "thirds": pack_bits(third, wide)} | {f"count.{k}": v for k, v in small(count).items()})
+
     def bigrams(rows: pa.Table) -> pa.Table:
-        own = sent.value
         shard = rows["shard"][0].as_py()
         parts = [unpacked(b.as_buffer()) for b in rows["packed"]]
         pair, third, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -337,7 +344,7 @@ def build(train: DataFrame, model: Model) -> Model:
         del pair
         code, count = merged([(rank.astype(np.int64) << 32) | third], [count])
         owner, third = code >> 32, code & 0xFFFFFFFF
-        seen = np.bincount(owner, count, len(pairs))
+        seen = np.bincount(owner, count, len(pairs)).astype(np.int64)
         real = third != words
         followed = np.bincount(owner[real], count[real], len(pairs))
         distinct = np.bincount(owner[real], minlength=len(pairs))
@@ -345,9 +352,9 @@ def build(train: DataFrame, model: Model) -> Model:
         first, second = pairs >> 32, pairs & 0xFFFFFFFF
         base = int(first[0]) if len(first) else 0
         offsets = np.searchsorted(first, np.arange(base, (int(first[-1]) if len(first) else base) + 2))
-        width = int(words).bit_length()
-        write_arrays(f"{folder}/bigrams-{shard:06d}", {"pointers": EliasFano.of(offsets, SAMPLE), "seconds": pack_bits(second, width), "weight": weight, "seen": seen}, first=base, width=width)
-        write_arrays(f"{folder}/raw-{shard:06d}", {"owner": owner[real].astype(np.int32), "third": third[real].astype(np.uint32), "count": count[real].astype(np.uint32)})
+        width = wide
+        write_arrays(f"{folder}/bigrams-{shard:06d}", {"pointers": EliasFano.of(offsets, SAMPLE), "seconds": pack_bits(second, width), "weight": weight} | {f"seen.{k}": v for k, v in small(seen).items()}, first=base, width=width)
+        write_raw(shard, owner[real], third[real], count[real], len(pairs))
         used = np.unique(first)
         totals = np.add.reduceat(seen, np.searchsorted(first, used)) if len(used) else np.zeros(0)
         n = np.diff(np.append(np.searchsorted(first, used), len(first)))
@@ -356,11 +363,12 @@ def build(train: DataFrame, model: Model) -> Model:
 
     made = count_ngrams(train, model).groupBy("shard").applyInArrow(bigrams, "shard long, bigrams long, words binary, totals binary, kinds binary")
     made = save(made, "lm-bigrams")
+    release(spark)
     sizes = {r["shard"]: r["bigrams"] for r in made.select("shard", "bigrams").collect()}  # one row for each shard
     for s in set(range(model.shards)) - set(sizes):
         nothing = EliasFano.of(np.zeros(1, np.int64), SAMPLE)
-        write_arrays(f"{folder}/bigrams-{s:06d}", {"pointers": nothing, "seconds": pack_bits(np.zeros(0, np.int64), 1), "weight": np.zeros(0, np.uint8), "seen": np.zeros(0)}, first=0, width=1)
-        write_arrays(f"{folder}/raw-{s:06d}", {"owner": np.zeros(0, np.int32), "third": np.zeros(0, np.uint32), "count": np.zeros(0, np.uint32)})
+        write_arrays(f"{folder}/bigrams-{s:06d}", {"pointers": nothing, "seconds": pack_bits(np.zeros(0, np.int64), 1), "weight": np.zeros(0, np.uint8)} | {f"seen.{k}": v for k, v in small(np.zeros(0, np.int64)).items()}, first=0, width=1)
+        write_raw(s, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
     model.bigram_base = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(model.shards)])])[:-1].astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,12 +418,14 @@ def build(train: DataFrame, model: Model) -> Model:
                 lower[order] = own.of_words("price", seconds[order]) / -WORD_STEP
                 total = own.of_words("totals", firsts)
                 weight = own.of_words("weight", firsts) / -STEP
-                p = np.maximum(level["seen"] - DISCOUNT, 0) / np.maximum(total, 1) + 10.0 ** (weight + lower)
+                p = np.maximum(unsmall(level, "seen") - DISCOUNT, 0) / np.maximum(total, 1) + 10.0 ** (weight + lower)
                 write_arrays(f"{folder}/priced-{shard:06d}", {k: level[k] for k in ("pointers", "seconds", "weight")} | {"price": quantised(np.log10(p))}, first=level["first"], width=level["width"])
             yield batch
 
     shards = spark.range(model.shards, numPartitions=min(model.shards, 4096)).select(F.col("id").alias("shard"))
     shards.mapInPandas(priced, "shard long").agg(F.count("*")).collect()
+    discard(spark, f"{folder}/words-*")
+    discard(spark, f"{folder}/bigrams-*")
 
     def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = again.value
@@ -423,21 +433,23 @@ def build(train: DataFrame, model: Model) -> Model:
             for shard in batch["shard"].tolist():
                 raw, level = map_arrays(f"{folder}/raw-{shard:06d}"), own.bigrams(shard)
                 n = len(level["weight"])
-                owner, third = raw["owner"].astype(np.int64), raw["third"].astype(np.int64)
+                offsets = raw["pointers"].all().astype(np.int64)
+                owner = np.repeat(np.arange(n), np.diff(offsets))
+                third, count = unpack_bits(raw["thirds"], wide, np.arange(len(owner))).astype(np.int64), unsmall(raw, "count")
                 second = unpack_bits(level["seconds"], level["width"], owner).astype(np.int64)
                 order = np.lexsort((third, second))
                 node, lower, _ = own.find_bigrams(second[order], third[order])
                 place, below = np.zeros(len(owner), np.int64), np.zeros(len(owner))
                 distinct, which = np.unique(second[order], return_inverse=True)
                 place[order], below[order] = node - own.starts(distinct)[which], lower
-                followed = np.bincount(owner, raw["count"], n)
-                p = (raw["count"] - DISCOUNT) / np.maximum(followed[owner], 1) + 10.0 ** (level["weight"][owner] / -STEP + below)
+                followed = np.bincount(owner, count, n)
+                p = (count - DISCOUNT) / np.maximum(followed[owner], 1) + 10.0 ** (level["weight"][owner] / -STEP + below)
                 width = int(place.max()).bit_length() if len(place) else 0
-                offsets = np.searchsorted(owner, np.arange(n + 1))
-                write_arrays(f"{folder}/trigrams-{shard:06d}", {"pointers": EliasFano.of(offsets, SAMPLE), "places": pack_bits(place, width), "price": quantised(np.log10(p))}, width=width)
+                write_arrays(f"{folder}/trigrams-{shard:06d}", {"pointers": raw["pointers"], "places": pack_bits(place, width), "price": quantised(np.log10(p))}, width=width)
             yield batch
 
     shards.mapInPandas(trigrams, "shard long").agg(F.count("*")).collect()
+    discard(spark, f"{folder}/raw-*")
     return model
 
 
@@ -451,12 +463,13 @@ class Trie(Model):
         return map_arrays(f"{self.folder}/priced-{shard:06d}")
 
 
-def fit(docs: DataFrame, learns: Column, tokens_per_shard: int = 6_000_000) -> Trie:
+def fit(docs: DataFrame, learns: Column, tokens_per_shard: int = 2_000_000) -> Trie:
     """Learn from the texts of ``docs`` for which ``learns`` holds."""
     train = docs.where(learns).select("text")
     folder = new_path(docs.sparkSession, "ngrams")
     model = count_words(train, folder, tokens_per_shard)
     probabilities_of_words(model, docs.sparkSession)
+    discard(docs.sparkSession, f"{folder}/counts-*")
     return build(train, model)
 
 

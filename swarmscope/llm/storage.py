@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, pattern: str) -> None:
+    """Delete the files of ``pattern``, once the stage that read them is complete."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(target) or []:
+        system.delete(found.getPath(), True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a ``save`` result that nothing will read again."""
     spark = df.sparkSession
