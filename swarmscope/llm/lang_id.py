@@ -149,7 +149,8 @@ def fit(docs: DataFrame, learns: Column, per_language: int = 400) -> Trees:
 
 
 def predict(docs: DataFrame, trees: Trees, predicted: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``docs`` with the likeliest language and its posterior probability."""
+    """``docs`` with the likeliest language and its posterior probability, in place of any columns of those names."""
+    docs = docs.drop(predicted, score)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     names = docs.columns
     at = names.index("text")

@@ -468,6 +468,9 @@ def fit(docs: DataFrame, learns: Column, tokens_per_shard: int = 2_000_000) -> T
     train = docs.where(learns).select("text")
     folder = new_path(docs.sparkSession, "ngrams")
     model = count_words(train, folder, tokens_per_shard)
+    if not model.tokens:
+        model.__class__ = Trie
+        return model
     probabilities_of_words(model, docs.sparkSession)
     discard(docs.sparkSession, f"{folder}/counts-*")
     return build(train, model)
@@ -511,11 +514,12 @@ def log_probabilities(own: Trie, tokens: np.ndarray, at: np.ndarray) -> tuple[np
 
 
 def score(docs: DataFrame, model: Trie) -> DataFrame:
-    """``docs`` with n_tokens, n_known, base_score and score (log10 probability of the text)."""
+    """``docs`` with n_tokens, n_known, base_score and score (log10 probability of the text), in place of any of those names."""
+    more = ["n_tokens", "n_known", "base_score", "score"]
+    docs = docs.drop(*more)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index("text")
-    more = ["n_tokens", "n_known", "base_score", "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

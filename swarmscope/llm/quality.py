@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "qualit
 
 
 def score(docs: DataFrame, voter: Voter, column: str = "quality_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in ``column``."""
+    """``docs`` with a score from 0 to 1 in ``column``, in place of any column of that name."""
+    docs = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast(voter)
     names = docs.columns
     at = names.index("text")

@@ -54,7 +54,8 @@ def matrix(counts: list[int], room: list[int], seed: int) -> np.ndarray:
 
 
 def shard(docs: DataFrame, carried: list[Column], shards: int = 16, seed: int = 7, block_rows: int = 1_000_000) -> DataFrame:
-    """``carried`` of every row of ``docs``, plus shard (from 0) and slot (from 0 in each shard, gapless).
+    """``carried`` of every row of ``docs``, plus shard (from 0) and slot (from 0 in each shard, gapless), in place of
+    any columns of those names.
 
     ``carried`` is written once to the shared folder, so that partitions and row positions are data from then on and a
     recomputed task deals its rows as before.
@@ -79,4 +80,5 @@ def shard(docs: DataFrame, carried: list[Column], shards: int = 16, seed: int =
     size = f"({total // shards} + if(shard < {total % shards}, 1, 0))"
     offset = F.expr(f"{size} * (block % {blocks}) div {blocks}").cast("long")
     out = out.withColumn("slot", offset + F.row_number().over(again) - 1)
-    return out.select("row.*", "shard", "slot")
+    names = [c for c in rows.schema["row"].dataType.names if c not in ("shard", "slot")]
+    return out.select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")
