@@ -3,18 +3,20 @@
 The distance of two sets is one minus their Jaccard similarity, a metric. With a linking distance e:
 
 1. Documents with equal sets collapse to one set, named by a 64-bit hash.
-2. ``pivots`` sets, spread by hash, are broadcast. Each set's distances to the pivots it shares anything with are exact.
+2. Up to ``pivots`` sets, spread by hash and not crowded, are broadcast. Each set's distances to the pivots it shares anything with are exact.
    A set within e of a pivot is in the pivot's region and linked to it; sets of one region need no comparison with each
-   other, as they are connected. By the triangle inequality a set linked with one of the region lies within 2e of the
-   pivot: sets between e and 2e are replicated into the region, and meet only its members there. Sets beyond e of every
-   pivot form the outer region.
+   other, as they are connected, nor do those of regions that a chain of common members connects. By the triangle
+   inequality a set linked with one of a region lies within 2e of its pivot: sets within 2e that are not connected with
+   the region are replicated into it, and meet only its members there. Sets beyond e of every pivot form the outer region.
 3. Regions join recursively with single shingles as pivots. All but the rarest pairs of texts are at distance exactly 1
    from each other, where no pivot document can tell them apart; a single shingle is within less than 1 of just the sets
    that hold it. Shingles are ordered, those in a great many sets last. Two sets within e have at least ceil(.85 n) of
    n shingles in common, so each is replicated to its first n - ceil(.85 n) + 1 shingles, where they must meet.
-4. In such a region, pairs survive that the sizes, the positions and 16 counts of hashed shingles allow to be within e.
-5. Pairs are verified on the whole sets: each set's pair with its least partner first, then those between sets that are
-   not connected yet, until none is left. No link between different texts is lost, and groups are never expanded.
+4. In such a region, pairs survive that the sizes, the positions and 64 counts of hashed shingles allow to be within e;
+   in a pivot's region what sets share with the pivot and what not is counted apart.
+5. 256 counts screen the pairs left. Then whole sets are compared: each set's pair with its least partner first, then
+   the pairs between sets that are not connected yet. No link between different texts is lost, and groups of links that
+   are connected already are not expanded.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than a shingle form one
 shingle; rows without a doc_id are returned with a null component; rows that share a doc_id count as one document;
@@ -24,7 +26,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from swarmscope.llm import words as W
 from swarmscope.llm.components import components
 from swarmscope.llm.storage import drop, save
 
-COUNTS = 16
+COUNTS = 64
+FINE = 256
 FILTER_BITS = 1 << 24
+CROWD = 8
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
 
 
@@ -80,163 +84,247 @@ class Space:
     holders: np.ndarray  # pivot numbers
     sizes: np.ndarray  # of pivots
     names: np.ndarray  # of pivots
-
-    def near(self, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, pivot, whether within e) for pivots within 2e of a set."""
-        if not len(self.keys) or not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[place] == keys)
-        owner = np.repeat(np.arange(len(names)), np.diff(at))[hit]
-        place = place[hit]
-        many = self.first[place + 1] - self.first[place]
-        owner = np.repeat(owner, many)
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pivot = self.holders[np.repeat(self.first[place], many) + within]
-        pair, common = np.unique(owner * len(self.sizes) + pivot, return_counts=True)
-        owner, pivot = pair // len(self.sizes), pair % len(self.sizes)
-        union = np.diff(at)[owner] + self.sizes[pivot] - common
-        keep = 100 * common >= (2 * self.percent - 100) * union
-        return owner[keep], pivot[keep], (100 * common >= self.percent * union)[keep]
+    labels: np.ndarray  # of pivots: equal, and above 0, for connected regions
+
+    def near(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of sets and pivots within 2e: set, pivot, whether within e, similarity, and COUNTS counts of what is common."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros((0, COUNTS), np.int64))]
+        if len(self.keys) and len(keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == keys)
+            size = np.diff(at)
+            owner = np.repeat(np.arange(len(size)), size)[hit]
+            place, group = place[hit], count_of(keys[hit])
+            many = self.first[place + 1] - self.first[place]
+            total = np.cumsum(many)
+            i = 0
+            while i < len(hit):
+                # whole sets, of about a million meetings
+                j = int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), side="right"))
+                j = len(hit) if j >= len(hit) else int(np.searchsorted(owner, owner[j], side="left"))
+                j = j if j > i else int(np.searchsorted(owner, owner[i], side="right"))
+                n = many[i:j]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pivot = self.holders[np.repeat(self.first[place[i:j]], n) + within]
+                pair, which, common = np.unique(np.repeat(owner[i:j], n) * len(self.sizes) + pivot, return_inverse=True, return_counts=True)
+                who, pivot = pair // len(self.sizes), pair % len(self.sizes)
+                union = size[who] + self.sizes[pivot] - common
+                keep = 100 * common >= (2 * self.percent - 100) * union
+                number = np.cumsum(keep) - 1
+                some = keep[which]
+                counts = np.bincount(number[which[some]] * COUNTS + np.repeat(group[i:j], n)[some], minlength=keep.sum() * COUNTS)
+                out.append((who[keep], pivot[keep], (100 * common >= self.percent * union)[keep], (common / union)[keep], counts.reshape(-1, COUNTS)))
+                i = j
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def count_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(40)).astype(np.int64) % COUNTS
+
+
+def packed(bucket: int, regions: np.ndarray, who: np.ndarray, position: np.ndarray, names: np.ndarray, n: np.ndarray, role: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """Postings of one bucket and, once each, the sets they are of."""
+    used, local = np.unique(who, return_inverse=True)
+    head = np.array([len(used), len(who), counts.shape[1]], np.int64)
+    counts = counts[used]
+    shift = np.maximum(0, np.ceil(np.log2(counts.max(axis=1) + 1)).astype(np.int64) - 8)
+    counts = (counts >> shift[:, None]).astype(np.uint8)
+    parts = (head, names[used], n[used].astype(np.int64), regions, local.astype(np.int32), position.astype(np.int32), shift.astype(np.uint8), role[used], label[used], counts)
+    return bucket, b"".join(x.tobytes() for x in parts)
 
 
 def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed sets and postings) of some sets; bucket -1 has verified links."""
+    """(bucket, packed postings) of some sets. Odd buckets hold the outer region, even ones the pivots' regions."""
     n = np.diff(at)
-    owner, pivot, ball = space.near(keys, at, names)
-    linked = ball & (names[owner] != space.names[pivot])
-    if linked.any():
-        yield -1, np.stack([names[owner[linked]], space.names[pivot[linked]]]).tobytes()
-    # regions to enter: (set, region, role); region 0 is the outer one, roles: 0 any, 1 member, 2 boundary
-    inner = np.zeros(len(n), bool)
-    inner[owner[ball]] = True
-    outside = np.flatnonzero(~inner & (n > 0))
-    salt = (names[owner].view(np.uint64) % np.uint64(space.salts)).astype(np.int64)
-    copies = np.where(ball, 1, space.salts)
-    again = np.repeat(np.arange(len(owner)), copies)
-    nth = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
-    cell = 1 + pivot[again] * space.salts + np.where(ball[again], salt[again], nth)
-    sets = np.concatenate([outside, owner[again]])
-    cells = np.concatenate([np.zeros(len(outside), np.int64), cell])
-    roles = np.concatenate([np.zeros(len(outside), np.uint8), np.where(ball[again], 1, 2).astype(np.uint8)])
-    if not len(sets):
-        return
+    owner, pivot, ball, alike, shared = space.near(keys, at)
+    # a set's home is the nearest pivot within e; it visits all other regions within 2e, save those it is connected to
+    home = np.full(len(n), -1, np.int64)
+    order = np.lexsort((pivot, -alike, owner))
+    order = order[ball[order]]
+    home[owner[order][::-1]] = order[::-1]
+    label = np.zeros(len(n), np.int32)
+    label[owner[ball]] = space.labels[pivot[ball]]
+    member = np.zeros(len(owner), bool)
+    member[home[home >= 0]] = True
+    used = np.flatnonzero(member | (label[owner] != space.labels[pivot]))
     doc = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(doc * COUNTS + (keys >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=len(n) * COUNTS).reshape(-1, COUNTS)
-    shift = np.maximum(0, np.ceil(np.log2(counts.max(axis=1) + 1)).astype(np.int64) - 8)
-    counts = (counts >> shift[:, None]).astype(np.uint8)
+    counts = np.bincount(doc * COUNTS + count_of(keys), minlength=len(n) * COUNTS).reshape(-1, COUNTS)
     if len(space.frequent):
         place = np.minimum(np.searchsorted(space.frequent, keys), len(space.frequent) - 1)
         rank = np.where(space.frequent[place] == keys, space.frequency[place], 0)
         if rank.any():
             keys = keys[np.lexsort((rank, doc))]
-    length = n[sets] - at_least(n[sets], space.percent) + 1
-    who = np.repeat(np.arange(len(sets)), length)
-    position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
-    region = W.mix(keys[at[:-1][sets][who] + position] ^ W.mix(cells[who].astype(np.uint64)))
-    bucket = (region % np.uint64(space.buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(space.buckets + 1))
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        mine = order[ends[b] : ends[b + 1]]
-        used, local = np.unique(who[mine], return_inverse=True)
-        s = sets[used]
-        head = np.array([len(used), len(mine)], np.int64)
-        yield b, b"".join(x.tobytes() for x in (head, names[s], n[s].astype(np.int64), region[mine], local.astype(np.int32), position[mine].astype(np.int32), shift[s].astype(np.uint8), roles[used], counts[s]))
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    out, at = [], 16
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.uint8, n), (np.uint8, n * COUNTS)):
+    outside = np.flatnonzero((home < 0) & (n > 0))
+    salt = (names[owner[used]].view(np.uint64) % np.uint64(space.salts)).astype(np.int64)
+    copies = np.where(member[used], 1, space.salts)
+    again = np.repeat(used, copies)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
+    cell = 1 + pivot[again] * space.salts + np.where(member[again], np.repeat(salt, copies), nth)
+    inside = np.concatenate([shared[again], counts[owner[again]] - shared[again]], axis=1)
+    kinds = (
+        (1, outside, np.zeros(len(outside), np.int64), np.zeros(len(outside), np.uint8), counts[outside]),
+        (0, owner[again], cell, np.where(member[again], 1, 2).astype(np.uint8), inside),
+    )
+    for odd, sets, cells, role, own in kinds:
+        length = n[sets] - at_least(n[sets], space.percent) + 1
+        who = np.repeat(np.arange(len(sets)), length)
+        position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
+        region = W.mix(keys[at[:-1][sets][who] + position] ^ W.mix(cells[who].astype(np.uint64)))
+        bucket = (region % np.uint64(space.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(space.buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            mine = order[ends[b] : ends[b + 1]]
+            yield packed(2 * b + odd, region[mine], who[mine], position[mine], names[sets], n[sets], role, label[sets], own)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, m, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+    out, at = [], 24
+    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.uint8, n), (np.int32, n), (np.uint8, n * wide)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
+    out[-1] = out[-1].reshape(-1, wide)
     return tuple(out)
 
 
-def candidates(blobs: list[bytes], percent: int, step: int = 1 << 18) -> np.ndarray:
-    """Distinct pairs of set names, the lesser first, that may be linked; 2 x n."""
-    parts = [unpack(b) for b in blobs]
+def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    return p[new], q[new]
+
+
+def candidates(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of set names, the lesser first, that may be linked."""
+    parts = [unpacked(b) for b in blobs]
     base = np.cumsum([0] + [len(p[0]) for p in parts])
-    names, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    regions, positions = (np.concatenate([p[k] for p in parts]) for k in (2, 4))
-    shifts, roles = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (5, 6))
-    counts = np.concatenate([p[7].reshape(-1, COUNTS) for p in parts])
+    names, sizes, regions, shifts, roles, labels, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5, 6, 7, 8))
+    positions = np.concatenate([p[4] for p in parts])
     sets = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
     del parts
     order = np.argsort(regions, kind="stable")
     same = regions[order][1:] == regions[order][:-1]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # regions of two sets at least
-    order = order[np.lexsort((names[sets[order]], sizes[sets[order]], regions[order]))]
+    order = order[np.lexsort((roles[sets[order]], names[sets[order]], sizes[sets[order]], regions[order]))]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # equal sets from different tasks count once in a region
-    twice = np.concatenate([[False], (regions[order][1:] == regions[order][:-1]) & (names[sets[order]][1:] == names[sets[order]][:-1]) & (roles[sets[order]][1:] == roles[sets[order]][:-1])]) if len(order) else np.zeros(0, bool)
-    order = order[~twice]
+    region, name, role = regions[order], names[sets[order]], roles[sets[order]]
+    new = np.ones(len(order), bool)
+    new[1:] = (region[1:] != region[:-1]) | (name[1:] != name[:-1]) | (role[1:] != role[:-1])
+    order = order[new]
     sets, positions, regions = sets[order], positions[order].astype(np.int64), regions[order]
-    if not len(sets):
-        return np.zeros((2, 0), np.int64)
     group = np.cumsum(np.concatenate([[0], regions[1:] != regions[:-1]])).astype(np.int64)
     size = sizes[sets]
     place = (group << np.int64(34)) + size
     until = np.searchsorted(place, (group << np.int64(34)) + size * 100 // percent, side="right")
     many = until - np.arange(len(sets)) - 1
     total = np.cumsum(many)
-    found = [np.zeros((2, 0), np.int64)]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     kept = 0
     i = 0
     while i < len(sets):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + step, side="right")))
-        a = np.repeat(np.arange(i, j), many[i:j])
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
+        for k in range(0, int(many[i:j].sum()), 16 * step):
+            # a set with a great many partners takes several turns
+            if j == i + 1:
+                b = i + 1 + np.arange(k, min(int(many[i]), k + 16 * step))
+                a = np.full(len(b), i)
+            else:
+                a = np.repeat(np.arange(i, j), many[i:j])
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
+            x, y = sets[a], sets[b]
+            need = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
+            ok = ((roles[x] != roles[y]) | (roles[x] == 0)) & (names[x] != names[y]) & ((labels[x] != labels[y]) | (labels[x] == 0))
+            ok &= np.minimum(positions[a], positions[b]) + np.minimum(sizes[x] - positions[a], sizes[y] - positions[b]) >= need
+            x, y, need = x[ok], y[ok], need[ok]
+            ok = np.zeros(len(x), bool)
+            for m in range(0, len(x), step):
+                s, t = x[m : m + step], y[m : m + step]
+                ok[m : m + step] = common_at_most(counts[s], shifts[s], counts[t], shifts[t]) >= need[m : m + step]
+            p, q = names[x[ok]], names[y[ok]]
+            found.append((np.minimum(p, q), np.maximum(p, q)))
+            kept += len(p)
+            if kept > 64 * step:
+                found = [distinct_pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))]
+                kept = len(found[0][0]) // 2
         i = j
-        x, y = sets[a], sets[b]
-        need = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
-        pa_, pb = positions[a], positions[b]
-        ok = (roles[x] + roles[y] != 2) & (roles[x] + roles[y] != 4) & (names[x] != names[y])
-        ok &= np.minimum(pa_, pb) + 1 + np.minimum(sizes[x] - pa_, sizes[y] - pb) - 1 >= need
-        x, y, need = x[ok], y[ok], need[ok]
-        slack_x, slack_y = (1 << shifts[x])[:, None], (1 << shifts[y])[:, None]
-        most = np.minimum(counts[x] * slack_x + slack_x - 1, counts[y] * slack_y + slack_y - 1).sum(axis=1)
-        ok = most >= need
-        p, q = names[x[ok]], names[y[ok]]
-        found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
-        kept += len(p)
-        if kept > 4 * step:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-            kept = found[0].shape[1] // 2
-    return np.unique(np.concatenate(found, axis=1), axis=1)
+    return distinct_pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))
+
+
+def common_at_most(a: np.ndarray, a_shift: np.ndarray, b: np.ndarray, b_shift: np.ndarray) -> np.ndarray:
+    """How many shingles sets can have in common by their counts, which lost their ``shift`` lowest bits."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    for i in np.flatnonzero(a_shift | b_shift).tolist():
+        x, y = (((c[i].astype(np.int64) + 1) << int(s[i])) - 1 for c, s in ((a, a_shift), (b, b_shift)))
+        most[i] = np.minimum(x, y).sum()
+    return most
 
 
 def filter_places(ids: np.ndarray) -> np.ndarray:
     return (W.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def shingle_classes(docs: DataFrame, width: int, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles and set name of every document; and frequent shingles of each task with their counts."""
+def described_sets(docs: DataFrame, space: Space) -> DataFrame:
+    """One table of three kinds of rows: of every document doc_id, n_shingles and its set's name; of each batch its
+    frequent shingles with their counts (n > 0); links, from a set to a pivot within e (n = -1), and between pivots that
+    are within e of one set (n = -2)."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)
+    columns = ["doc_id", "n_shingles", "name", "shingle", "n"]
+
+    def rows(name: np.ndarray | None, shingle: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none if name is None else pa.array(name), pa.array(shingle), pa.array(n.astype(np.int64))], columns)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, parts = [], [], []
-            for _, _, keys, at in sets_of(batch.column(1), width):
-                names.append(name_of(keys, at))
+            names, sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            links = []
+            for _, _, keys, at in sets_of(batch.column(1), own.width):
+                named = name_of(keys, at)
+                names.append(named)
                 sizes.append(np.diff(at))
-                new = first_of(names[-1], seen)
-                parts.append(keys[np.repeat(new, np.diff(at))])
-            if len(seen) > 1_000_000:
-                seen.clear()
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), pa.array(np.concatenate(names) if names else np.zeros(0, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                ["doc_id", "n_shingles", "name", "shingle", "n"],
-            )
-            keys, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new = first_of(named, seen)
+                keys = keys[np.repeat(new, np.diff(at))]
+                named, n = named[new], sizes[-1][new]
+                parts.append(keys)
+                owner, pivot, ball, _, _ = own.near(keys, np.concatenate([[0], np.cumsum(n)]))
+                owner, pivot = owner[ball], own.names[pivot[ball]]
+                away = named[owner] != pivot
+                links.append(rows(named[owner[away]], pivot[away], np.full(away.sum(), -1)))
+                both = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
+                pairs = np.unique(np.stack([pivot[both], pivot[both + 1]]), axis=1) if len(both) else np.zeros((2, 0), np.int64)
+                links.append(rows(pairs[0], pairs[1], np.full(pairs.shape[1], -2)))
+            none = pa.nulls(len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), none, none], columns)
+            yield from links
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
             often = counts > 1 + counts.sum() / FREQUENT
-            keys, counts = keys[often].view(np.int64), counts[often]
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(keys), pa.array(counts)], ["doc_id", "n_shingles", "name", "shingle", "n"])
+            yield rows(None, keys[often].view(np.int64), counts[often])
+
+    return save(docs.select("doc_id", "text").mapInArrow(described, "doc_id long, n_shingles long, name long, shingle long, n long"), "shingle-sets")
+
 
-    rows = save(docs.select("doc_id", "text").mapInArrow(described, "doc_id long, n_shingles long, name long, shingle long, n long"), "shingle-sets")
-    return rows.where("shingle IS NULL").select("doc_id", "n_shingles", "name"), rows.where("shingle IS NOT NULL").select("shingle", "n")
+def connected(pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A label above 0 for each of the pivots ``names``, equal for those that ``pairs`` (n x 2) connect."""
+    parent = {x: x for x in names.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs.tolist():
+        parent[root(a)] = root(b)
+    numbers: dict[int, int] = {}
+    return np.array([numbers.setdefault(root(x), len(numbers) + 1) for x in names.tolist()], np.int32)
 
 
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
@@ -255,27 +343,46 @@ def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFr
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(taken, "name long, keys binary")
 
 
-def space_of(docs: DataFrame, classes: DataFrame, frequent: DataFrame, width: int, percent: int, pivots: int, salts: int, bucket_postings: int) -> tuple[Space, DataFrame]:
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    common = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
-    common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-    reps = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    chosen = reps.orderBy(F.xxhash64("name"), "name").limit(pivots)
-    some = whole_sets(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), width, None).join(F.broadcast(chosen.select("name")), "name", "left_semi")
-    taken = some.toPandas().drop_duplicates("name")  # at most ``pivots``
+def pivots_of(docs: DataFrame, width: int, percent: int, pivots: int, salts: int) -> Space:
+    """The sets of ``pivots`` documents, those with the smallest hashes of their ids."""
+    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pivots)
+    taken = whole_sets(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), width, None).dropDuplicates(["name"]).limit(pivots).toPandas()
     sets = [np.frombuffer(b, np.uint64) for b in taken["keys"]]
+    names = taken["name"].to_numpy(np.int64)
+    space = space_of([], names[:0], width, percent, salts)
+    kept: list[int] = []
+    for i in range(0, len(sets), 256):
+        # a pivot in the middle of many others tells nothing apart
+        some = range(i, min(len(sets), i + 256))
+        at = np.concatenate([[0], np.cumsum([len(sets[k]) for k in some])])
+        owner, _, ball, _, _ = space.near(np.concatenate([sets[k] for k in some]), at)
+        close = np.bincount(owner[ball], minlength=len(some))
+        kept += [k for k, n in zip(some, close.tolist(), strict=True) if n < CROWD and len(sets[k])]
+        space = space_of([sets[k] for k in kept], names[kept], width, percent, salts)
+    return space
+
+
+def space_of(sets: list[np.ndarray], names: np.ndarray, width: int, percent: int, salts: int) -> Space:
     sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate([np.zeros(0, np.uint64), *sets])
     order = np.argsort(every, kind="stable")
     keys, first = np.unique(every[order], return_index=True)
     holders = np.repeat(np.arange(len(sets)), sizes)[order].astype(np.int64)
-    buckets = max(1, -(-total * (101 - percent) // 100 // bucket_postings))
-    names = taken["name"].to_numpy(np.int64)
-    return Space(width, percent, int(buckets), salts, common["key"].to_numpy(np.uint64), common["n"].to_numpy(np.int64), keys, np.append(first, len(every)).astype(np.int64), holders, sizes, names), reps
+    nothing = np.zeros(0, np.int64)
+    return Space(width, percent, 1, salts, keys[:0], nothing, keys, np.append(first, len(every)).astype(np.int64), holders, sizes, names, nothing)
+
+
+def with_statistics(space: Space, described: DataFrame, bucket_postings: int) -> Space:
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    common = described.where("n > 0").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
+    common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+    chained = described.where("n = -2").select("name", "shingle").distinct().toPandas().to_numpy(np.int64)
+    buckets = max(1, -(-total * (101 - space.percent) // 100 // bucket_postings))
+    return replace(space, buckets=int(buckets), frequent=common["key"].to_numpy(np.uint64), frequency=common["n"].to_numpy(np.int64), labels=connected(chained, space.names))
 
 
 def pairs_of(docs: DataFrame, space: Space) -> DataFrame:
-    """a, b, linked: verified links to pivots, and pairs yet to verify."""
+    """a, b: pairs yet to verify; some more than once."""
     sent = docs.sparkSession.sparkContext.broadcast(space)
     percent = space.percent
 
@@ -293,15 +400,34 @@ def pairs_of(docs: DataFrame, space: Space) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
 
     def met(rows: pa.Table) -> pa.Table:
-        blobs = rows["packed"].to_pylist()
-        done = rows["bucket"][0].as_py() < 0
-        pairs = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs], axis=1) if done else candidates(blobs, percent)
-        return pa.table({"a": pairs[0], "b": pairs[1], "linked": np.full(pairs.shape[1], done)})
+        pairs = candidates(rows["packed"].to_pylist(), percent)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    # verified links need no meeting: they keep to the task that found them
-    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(posted, "bucket long, packed binary")
-    spread = packed.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("packed"), F.lit(64))).otherwise(F.col("bucket")))
-    return spread.groupBy("bucket").applyInArrow(met, "a long, b long, linked boolean")
+    sent_rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(posted, "bucket long, packed binary")
+    return sent_rows.groupBy("bucket").applyInArrow(met, "a long, b long")
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those that finer counts of hashed shingles allow to be within the distance."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                keys = np.frombuffer(x.as_buffer(), np.uint64)
+                out.append(np.minimum(np.bincount(keys >> np.uint64(56), minlength=FINE), 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["name", "counts"])
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, FINE).astype(np.int64) for k in (2, 3))
+            most = np.minimum(x, y).sum(axis=1) + np.where((x == 65535) & (y == 65535), 2**40, 0).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(most * (100 + percent) >= percent * (x.sum(axis=1) + y.sum(axis=1))))
+
+    fine = sets.mapInArrow(counted, "name long, counts binary")
+    first = pairs.join(fine.select(F.col("name").alias("a"), F.col("counts").alias("x")), "a")
+    second = first.join(fine.select(F.col("name").alias("b"), F.col("counts").alias("y")), "b")
+    return second.select("a", "b", "x", "y").mapInArrow(allowed, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -321,13 +447,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return second.select("a", "b", "keys_a", "keys_b").mapInArrow(compared, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 2048, salts: int = 8, bucket_postings: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 4096, salts: int = 8, bucket_postings: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs``."""
-    classes, frequent = shingle_classes(docs, width, percent, pivots)
-    space, reps = space_of(docs, classes, frequent, width, percent, pivots, salts, bucket_postings)
-    met = save(pairs_of(docs, space), "shingle-pairs")
-    links = met.where("linked").select("a", "b")
-    open_ = save(met.where("NOT linked").select("a", "b").distinct(), "shingle-open")
+    space = pivots_of(docs, width, percent, pivots, salts)
+    described = described_sets(docs, space)
+    classes = described.where("n IS NULL").select("doc_id", "n_shingles", "name")
+    reps = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    links = described.where("n = -1").select(F.col("name").alias("a"), F.col("shingle").alias("b"))
+    open_ = save(pairs_of(docs, with_statistics(space, described, bucket_postings)).distinct(), "shingle-open")
     if not open_.isEmpty():
         nodes = open_.select(F.col("a").alias("name")).union(open_.select("b")).distinct()
 
@@ -341,17 +468,16 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int
         wanted[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
         found = whole_sets(docs, width, wanted.view(np.uint64)).join(nodes, "name").dropDuplicates(["name"])
         sets = save(found, "shingle-wanted")
-        while not open_.isEmpty():
-            least = open_.union(open_.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-            star = save(least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-star")
-            links = links.union(save(verified(star, sets, percent), "shingle-links"))
-            roots = components(links)
-            rest = open_.join(star, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-            rest = save(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "shingle-open")
-            drop(open_)
-            open_ = rest
+        open_ = save(screened(open_, sets, percent), "shingle-open")
+        least = open_.union(open_.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        star = save(least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-star")
+        links = links.union(save(verified(star, sets, percent), "shingle-links"))
+        roots = components(links)
+        rest = open_.join(star, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        rest = save(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "shingle-open")
+        links = links.union(save(verified(rest, sets, percent), "shingle-links"))
         drop(sets)
     roots = components(links)
     named = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
