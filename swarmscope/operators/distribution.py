@@ -55,11 +55,12 @@ def hdi(df: DataFrame, value: str, keys: list[str], mass: float = 0.95) -> DataF
 
     Ranks are joined with those k later, since the distance differs by group.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"))
-    ranked = known.withColumns({"rank": F.row_number().over(Window.partitionBy(*keys).orderBy("x")).cast("long"), "n": F.count("*").over(Window.partitionBy(*keys))})
-    ranked = ranked.withColumn("k", F.floor(F.lit(mass) * F.col("n")).cast("long"))
-    later = ranked.select(*keys, (F.col("rank") - F.col("k")).alias("rank"), F.col("x").alias("until")).where("rank >= 1")
-    spans = ranked.join(later, [*keys, "rank"]).where("k >= 1 AND n >= 2")
-    best = spans.groupBy(*keys).agg(F.min_by(F.struct("x", "until"), F.struct(F.col("until") - F.col("x"), "rank")).alias("best"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    ranked = known.withColumns({"_rank": F.row_number().over(Window.partitionBy(*keys).orderBy("_x")).cast("long"), "_n": F.count("*").over(Window.partitionBy(*keys))})
+    ranked = ranked.withColumn("_k", F.floor(F.lit(mass) * F.col("_n")).cast("long"))
+    later = ranked.select(*keys, (F.col("_rank") - F.col("_k")).alias("_rank"), F.col("_x").alias("_until")).where("_rank >= 1")
+    spans = ranked.join(later, [*keys, "_rank"]).where("_k >= 1 AND _n >= 2")
+    best = spans.groupBy(*keys).agg(F.min_by(F.struct("_x", "_until"), F.struct(F.col("_until") - F.col("_x"), "_rank")).alias("_best"))
     groups = known.select(*keys).distinct()
-    return groups.join(best, keys, "left").select(*keys, F.col("best.x").alias("hdi_low"), F.col("best.until").alias("hdi_high"), (F.col("best.until") - F.col("best.x")).alias("hdi_width"))
+    low, high = F.col("_best._x"), F.col("_best._until")
+    return groups.join(best, keys, "left").select(*keys, low.alias("hdi_low"), high.alias("hdi_high"), (high - low).alias("hdi_width"))

@@ -36,8 +36,12 @@ def predicate(item: Filter) -> Column:
 
 
 def where_all(df: DataFrame, filters: list[Filter]) -> DataFrame:
-    """All tuples must hold; they reach the scan as pushed filters."""
-    return df.where(reduce(and_, map(predicate, filters))) if filters else df
+    """All tuples must hold; they reach the scan as pushed filters. A missing value, NaN or null, meets none."""
+    if not filters:
+        return df
+    floating = {f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)}
+    there = [~F.isnan(n) for n in dict.fromkeys(n for n, _, _ in filters if n in floating)]
+    return df.where(reduce(and_, [*map(predicate, filters), *there]))
 
 
 def scan_bubbles(
