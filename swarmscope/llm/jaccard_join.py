@@ -85,6 +85,7 @@ class Space:
     sizes: np.ndarray  # of pivots
     names: np.ndarray  # of pivots
     labels: np.ndarray  # of pivots: equal, and above 0, for connected regions
+    occupied: np.ndarray  # whether any other set is within e of the pivot
 
     def near(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of sets and pivots within 2e: set, pivot, whether within e, similarity, and COUNTS counts of what is common."""
@@ -130,7 +131,9 @@ def packed(bucket: int, regions: np.ndarray, who: np.ndarray, position: np.ndarr
     shift = np.maximum(0, np.ceil(np.log2(counts.max(axis=1) + 1)).astype(np.int64) - 8)
     counts = (counts >> shift[:, None]).astype(np.uint8)
     parts = (head, names[used], n[used].astype(np.int64), regions, local.astype(np.int32), position.astype(np.int32), shift.astype(np.uint8), role[used], label[used], counts)
-    return bucket, b"".join(x.tobytes() for x in parts)
+    body = b"".join(x.tobytes() for x in parts)
+    # counts and positions are small numbers: entropy coding halves what is shuffled
+    return bucket, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
 
 
 def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -146,7 +149,8 @@ def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
     label[owner[ball]] = space.labels[pivot[ball]]
     member = np.zeros(len(owner), bool)
     member[home[home >= 0]] = True
-    used = np.flatnonzero(member | (label[owner] != space.labels[pivot]))
+    # a pivot's own distances are known, so a region without any other member has nobody to meet
+    used = np.flatnonzero((member | (label[owner] != space.labels[pivot])) & space.occupied[pivot])
     doc = np.repeat(np.arange(len(n)), n)
     counts = np.bincount(doc * COUNTS + count_of(keys), minlength=len(n) * COUNTS).reshape(-1, COUNTS)
     if len(space.frequent):
@@ -179,6 +183,7 @@ def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    blob = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n, m, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
     out, at = [], 24
     for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.uint8, n), (np.int32, n), (np.uint8, n * wide)):
@@ -369,7 +374,7 @@ def space_of(sets: list[np.ndarray], names: np.ndarray, width: int, percent: int
     keys, first = np.unique(every[order], return_index=True)
     holders = np.repeat(np.arange(len(sets)), sizes)[order].astype(np.int64)
     nothing = np.zeros(0, np.int64)
-    return Space(width, percent, 1, salts, keys[:0], nothing, keys, np.append(first, len(every)).astype(np.int64), holders, sizes, names, nothing)
+    return Space(width, percent, 1, salts, keys[:0], nothing, keys, np.append(first, len(every)).astype(np.int64), holders, sizes, names, nothing, np.zeros(0, bool))
 
 
 def with_statistics(space: Space, described: DataFrame, bucket_postings: int) -> Space:
@@ -377,8 +382,9 @@ def with_statistics(space: Space, described: DataFrame, bucket_postings: int) ->
     common = described.where("n > 0").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
     common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
     chained = described.where("n = -2").select("name", "shingle").distinct().toPandas().to_numpy(np.int64)
+    held = described.where("n = -1").select("shingle").distinct().toPandas()["shingle"].to_numpy(np.int64)
     buckets = max(1, -(-total * (101 - space.percent) // 100 // bucket_postings))
-    return replace(space, buckets=int(buckets), frequent=common["key"].to_numpy(np.uint64), frequency=common["n"].to_numpy(np.int64), labels=connected(chained, space.names))
+    return replace(space, buckets=int(buckets), frequent=common["key"].to_numpy(np.uint64), frequency=common["n"].to_numpy(np.int64), labels=connected(chained, space.names), occupied=np.isin(space.names, held))
 
 
 def pairs_of(docs: DataFrame, space: Space) -> DataFrame:
@@ -447,7 +453,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return second.select("a", "b", "keys_a", "keys_b").mapInArrow(compared, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 4096, salts: int = 8, bucket_postings: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 4096, salts: int = 2, bucket_postings: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs``."""
     space = pivots_of(docs, width, percent, pivots, salts)
     described = described_sets(docs, space)
