@@ -427,15 +427,18 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.read(token_files.write(empty, new_path(spark, "tokens"), tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
-def test_encoder_equals_the_library():
+def test_encoder_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    own = token_files.Encoder(tokenizers.path("byte_bpe_50k.json"), 2, True)
-    texts = ["a  b", " lead", "trail ", "two\n\nlines", "tab\tx", "it's we'll\nI'm", "x y 　 z", "日本 語\nx", "<|endoftext|> a <|endoftext|>b", "\n", "  ", "a\x1cb c", "123 4five6\n789", "é́ e", "one", "a \nb", "!?\n?! .."]
+    texts = ["a  b", " lead", "trail ", "two\n\nlines", "tab\tx", "it's we'll\nI'm", "x\u2003y\u00a0z \u3000 w", "日本 語\nx", "<|endoftext|> a <|endoftext|>b", "\n", "  ", "a\x1cb c", "123 4five6\n789", "é́ e", "one", "a \nb", "!?\n?! ..", "", "x\u0085y", "naïve café\nÀ la"]
     texts += [t + " again " + t for t in texts]
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for by_space in (True, False):
+        out = token_files.read(token_files.write(frame, new_path(spark, "tokens"), tokenizers.path("byte_bpe_50k.json"), by_space=by_space, stretches_per_file=7)).toPandas().sort_values("doc_id")
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert out["n_tokens"].tolist() == [len(x) for x in want]
+        assert out["ids_crc32"].tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
 
 
 def test_elias_fano():
