@@ -16,9 +16,7 @@ GRID_METRICS = {
 
 def pivot_grid(table: DataFrame, value: str, rpm: list[float], aeration: list[float], keys: list[str]) -> DataFrame:
     """Aeration by rpm with a column for each rpm of the axis, all aerations of the axis present, holes as null."""
-    spark = table.sparkSession
-    axis = spark.createDataFrame([(float(a),) for a in aeration], "aer_val double")
-    whole = table.select(*keys).distinct().join(F.broadcast(axis))
+    whole = table.select(*keys).distinct().withColumn("aer_val", F.explode(F.array(*[F.lit(float(a)) for a in aeration])))
     levels = [int(r) for r in rpm]
     wide = table.withColumn("rpm_int", F.col("rpm_val").cast("int")).groupBy(*keys, "aer_val").pivot("rpm_int", levels).agg(F.first(value, ignorenulls=True))
     return whole.join(wide, [*keys, "aer_val"], "left").withColumnsRenamed({str(r): f"rpm_{r}" for r in levels})

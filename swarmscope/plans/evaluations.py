@@ -213,8 +213,8 @@ def ruled(spark: SparkSession, sf_dir: str, thresholds: list[float]) -> DataFram
     flagged = predictions(spark, sf_dir).select("image", "pred", "score").join(best, ["image", "pred"], "left")
     flagged = flagged.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     flagged = flagged.withColumn("tp", F.when(F.coalesce("iou", F.lit(0.0)) >= F.col("threshold"), 1).otherwise(0))
-    n = truth(spark, sf_dir).agg(F.count("*").alias("n_gt"))
-    return evaluation.precision_recall(flagged.crossJoin(n), F.col("n_gt"), ["threshold"])
+    n_gt = truth(spark, sf_dir).agg(F.count("*")).scalar()
+    return evaluation.precision_recall(flagged.withColumn("n_gt", n_gt), F.col("n_gt"), ["threshold"])
 
 
 @query(RULED + " SELECT image, pred, rank, CAST(tps AS BIGINT) AS tps, round(precision, 6) AS precision, round(recall, 6) AS recall FROM rates WHERE threshold = 0.5")
