@@ -14,6 +14,7 @@ from swarmscope.llm.elias_fano import EliasFano
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = uri.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 

@@ -82,6 +82,7 @@ def thresholds(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 def with_copies(sized: DataFrame, limits: DataFrame) -> DataFrame:
     """``sized`` with source_size, target, and mix_copies: how often the mix takes the row."""
     below = (F.col("row_hash") < F.col("threshold")) | ((F.col("row_hash") == F.col("threshold")) & F.col("at_threshold"))
+    below &= F.col("target") > F.col("copies") * F.col("source_size")
     joined = sized.join(limits, F.col("source").eqNullSafe(F.col("mix_source")))
     return joined.withColumn("mix_copies", F.col("copies") + F.when(below, 1).otherwise(0)).drop("mix_source", "copies", "threshold", "at_threshold")
 
