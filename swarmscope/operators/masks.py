@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarmscope.functions.shapes import equivalent_diameter
+from swarmscope.functions.shapes import equivalent_diameter, near_unity
 
 KEYS = ["image", "inst"]
 
@@ -79,3 +79,41 @@ def mask_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     area = lambda t, name: t.groupBy("image", F.col("inst").alias(name)).agg(F.sum(F.col("x1") - F.col("x0")).alias(f"{name}_area"))
     out = shared.join(area(left, "pred"), ["image", "pred"]).join(area(right, "gt"), ["image", "gt"])
     return out.select("image", "pred", "gt", "common", (F.col("common") / (F.col("pred_area") + F.col("gt_area") - F.col("common"))).alias("iou"))
+
+
+def moment_axes(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Full axes of the ellipse with a mask's second moments, and its angle in degrees from 0 to 180."""
+    n = (F.col("x1") - F.col("x0")).cast("double")
+    x0, x1, y = (F.col(c).cast("double") for c in ("x0", "x1", "y"))
+    squares = (x1 - 1) * x1 * (2 * x1 - 1) / 6 - (x0 - 1) * x0 * (2 * x0 - 1) / 6
+    line = (x0 + x1 - 1) * n / 2
+    sums = runs.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(line).alias("sx"), F.sum(y * n).alias("sy"), F.sum(squares).alias("sxx"), F.sum(y * y * n).alias("syy"), F.sum(y * line).alias("sxy")
+    )
+    mean = lambda s: F.col(s) / F.col("n")
+    # a pixel is a square, not a point
+    vx, vy = mean("sxx") - mean("sx") * mean("sx") + 1 / 12, mean("syy") - mean("sy") * mean("sy") + 1 / 12
+    both = mean("sxy") - mean("sx") * mean("sy")
+    middle, spread = (vx + vy) / 2, F.sqrt((vx - vy) * (vx - vy) / 4 + both * both)
+    angle = F.degrees(F.atan2(2 * both, vx - vy) / 2)
+    return sums.select(
+        *keys, (4 * F.sqrt(middle + spread)).alias("major"), (4 * F.sqrt(F.greatest(F.lit(0.0), middle - spread))).alias("minor"), F.when(angle < 0, angle + 180).otherwise(angle).alias("angle_deg")
+    )
+
+
+def near_spherical(runs: DataFrame, tolerance: float = 0.10, keys: list[str] = KEYS) -> DataFrame:
+    return moment_axes(runs, keys).withColumn("near", near_unity("major", "minor", tolerance))
+
+
+def polygon_runs(polygons: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Runs of pixels whose centres lie in ``polygon`` (array of x, y), vertices cut to whole pixels, by crossings of
+    each line with the edges; even-odd."""
+    corner = lambda p: F.struct(p["x"].cast("int").cast("double").alias("x"), p["y"].cast("int").cast("double").alias("y"))
+    ring = polygons.select(*keys, F.transform("polygon", corner).alias("p"))
+    edges = ring.select(*keys, F.explode(F.arrays_zip(F.col("p").alias("a"), F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("b"))).alias("e")).select(*keys, "e.a", "e.b")
+    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    lines = edges.where(low < high).withColumn("y", F.explode(F.sequence(low.cast("int"), high.cast("int") - 1)))
+    crossing = F.col("a.x") + (F.col("y") + 0.5 - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))
+    found = lines.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(crossing)).alias("c"))
+    spans = F.transform(F.sequence(F.lit(0), F.expr("cast(size(c) div 2 as int)") - 1), lambda i: F.struct(F.ceil(F.col("c")[2 * i] - 0.5).cast("int").alias("x0"), F.ceil(F.col("c")[2 * i + 1] - 0.5).cast("int").alias("x1")))
+    return found.select(*keys, "y", F.inline(spans)).where("x1 > x0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swarmscope.functions import shapes
 from swarmscope.functions.calibration import DEFAULT
+from swarmscope.functions.columns import number
 from swarmscope.operators import evaluation, masks, rheology
 from swarmscope.plans.fixtures import BOXES, BUBBLES, ELLIPSES, FLOW, PAIRS, bubbles, ellipses, flow, predictions, runs_sql, truth
 from swarmscope.plans.registry import query, rounded
@@ -105,6 +106,33 @@ def g16_mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(masks.mask_iou(masks.ellipse_runs(ellipses(spark, sf_dir)), masks.ellipse_runs(ellipses(spark, sf_dir, shifted=True))))
 
 
+_MEAN = """, m AS (SELECT image, inst, sum(x1 - x0)::DOUBLE AS n, sum((x0 + x1 - 1) * (x1 - x0) / 2) AS sx, sum(y * (x1 - x0))::DOUBLE AS sy,
+sum(list_sum(list_transform(range(x0, x1), lambda x: x * x)))::DOUBLE AS sxx, sum(y * y * (x1 - x0))::DOUBLE AS syy, sum(y * (x0 + x1 - 1) * (x1 - x0) / 2) AS sxy FROM runs GROUP BY ALL),
+v AS (SELECT image, inst, sxx / n - sx / n * sx / n + 1.0 / 12 AS vx, syy / n - sy / n * sy / n + 1.0 / 12 AS vy, sxy / n - sx / n * sy / n AS b FROM m),
+x AS (SELECT image, inst, 4 * sqrt((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + b * b)) AS major, 4 * sqrt(greatest(0::DOUBLE, (vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + b * b))) AS minor FROM v)"""
+
+
+@query(E + _MEAN + " SELECT image, inst, round(major, 4) AS major, round(minor, 4) AS minor, round(major / minor, 4) <= 1.5 AS near FROM x")
+def g08_near_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = masks.near_spherical(masks.ellipse_runs(ellipses(spark, sf_dir)), 0.5)
+    return axes.select("image", "inst", F.round("major", 4).alias("major"), F.round("minor", 4).alias("minor"), "near")
+
+
+BOX_POLYGON = ["array(struct(x1 as x, y1 as y), struct(x2 as x, y1 as y), struct(x2 as x, y2 as y), struct(x1 as x, y2 as y)) as polygon"]
+
+
+@query("WITH " + BOXES + ", c AS (SELECT image, gt AS inst, CAST(trunc(x1) AS INT) AS x0, CAST(trunc(x2) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y0, CAST(trunc(y2) AS INT) AS y1 FROM truth WHERE image % 50 = 0) SELECT image, inst, CAST(unnest(range(y0, y1)) AS INT) AS y, x0, x1 FROM c")
+def g17_polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polygons = truth(spark, sf_dir).where("image % 50 = 0").selectExpr("image", "gt as inst", *BOX_POLYGON)
+    return masks.polygon_runs(polygons)
+
+
+@query("WITH n(text) AS (VALUES ('1.5'), ('x'), (''), ('-3e2'), (NULL), ('100 rpm')) SELECT text, TRY_CAST(text AS DOUBLE) AS number FROM n")
+def p11_numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("1.5", "x", "", "-3e2", None, "100 rpm")], "text string")
+    return rows.withColumn("number", number(F.col("text")))
+
+
 B = "WITH " + BOXES + "\n"
 P = "WITH " + PAIRS + "\n"
 

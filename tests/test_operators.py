@@ -111,6 +111,18 @@ def test_masks_of_an_ellipse(spark):
     assert same["iou"] == 1 and same["common"] == m["area"]
 
 
+def test_axes_and_polygons(spark):
+    shape = spark.createDataFrame([(1, 1, 60.0, 50.0, 30.0, 12.0), (1, 2, 60.0, 50.0, 20.0, 20.0)], "image long, inst long, cx double, cy double, a double, b double")
+    axes = {r["inst"]: r for r in masks.near_spherical(masks.ellipse_runs(shape)).collect()}
+    assert axes[1]["major"] == pytest.approx(60, rel=0.03) and axes[1]["minor"] == pytest.approx(24, rel=0.03) and not axes[1]["near"] and axes[2]["near"]
+    triangle = spark.createDataFrame([(1, 1, [(0.9, 0.2), (10.7, 0.1), (0.3, 10.9)])], "image long, inst long, polygon array<struct<x: double, y: double>>")
+    runs = {r["y"]: (r["x0"], r["x1"]) for r in masks.polygon_runs(triangle).collect()}
+    # the triangle (0, 0), (10, 0), (0, 10): on line y, pixel centres up to x = 10 - y - 0.5
+    assert runs == {y: (0, 9 - y) for y in range(9)}
+    concave = spark.createDataFrame([(1, 1, [(0.0, 0.0), (9.0, 0.0), (9.0, 6.0), (6.0, 6.0), (6.0, 3.0), (3.0, 3.0), (3.0, 6.0), (0.0, 6.0)])], "image long, inst long, polygon array<struct<x: double, y: double>>")
+    assert masks.moments(masks.polygon_runs(concave)).first()["area"] == 45
+
+
 def greedy(predictions, truth, iou, threshold):
     used, out = set(), {}
     for p in sorted(predictions, key=lambda p: (-p[1], p[0])):
