@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, learns: Column, per_language: int = 400) -> Trees:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
-                texts = batch.filter(pa.compute.equal(batch.column(0), lang)).column(1)
+                texts = batch.filter(pc.equal(batch.column(0), lang)).column(1)
                 for data, offsets in W.buffers(texts):
                     for i, j in W.runs(offsets):
                         codes, n = np.unique(grams(data, offsets[i : j + 1])[0], return_counts=True)
