@@ -12,11 +12,11 @@ The distance of two sets is one minus their Jaccard similarity, a metric. With a
    from each other, where no pivot document can tell them apart; a single shingle is within less than 1 of just the sets
    that hold it. Shingles are ordered, those in a great many sets last. Two sets within e have at least ceil(.85 n) of
    n shingles in common, so each is replicated to its first n - ceil(.85 n) + 1 shingles, where they must meet.
-4. In such a region, pairs survive that the sizes, the positions and 64 counts of hashed shingles allow to be within e;
-   in a pivot's region what sets share with the pivot and what not is counted apart.
-5. 256 counts screen the pairs left. Then whole sets are compared: each set's pair with its least partner first, then
-   the pairs between sets that are not connected yet. No link between different texts is lost, and groups of links that
-   are connected already are not expanded.
+4. In such a region, pairs survive that the sizes, the positions and counts of hashed shingles (64 or, for long texts,
+   more) allow to be within e; in a pivot's region what sets share with the pivot and what not is counted apart.
+5. Pairs left meet by component of their graph, in blocks of bounded size; 256 counts screen them, and whole sets are
+   compared where they are not connected yet. No link between different texts is lost, and groups of links that are
+   connected already are not expanded.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than a shingle form one
 shingle; rows without a doc_id are returned with a null component; rows that share a doc_id count as one document;
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from swarmscope.llm import words as W
 from swarmscope.llm.components import components
 from swarmscope.llm.storage import drop, save
+from swarmscope.llm.stretches import ragged
 
 COUNTS = 64
 FINE = 256
 FILTER_BITS = 1 << 24
 CROWD = 8
+VISITS = 1 << 13
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
 
 
@@ -89,7 +91,7 @@ class Space:
 
     def near(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of sets and pivots within 2e: set, pivot, whether within e, similarity, and COUNTS counts of what is common."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros((0, COUNTS), np.int64))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros((0, COUNTS), np.uint32))]
         if len(self.keys) and len(keys):
             place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[place] == keys)
@@ -114,7 +116,7 @@ class Space:
                 number = np.cumsum(keep) - 1
                 some = keep[which]
                 counts = np.bincount(number[which[some]] * COUNTS + np.repeat(group[i:j], n)[some], minlength=keep.sum() * COUNTS)
-                out.append((who[keep], pivot[keep], (100 * common >= self.percent * union)[keep], (common / union)[keep], counts.reshape(-1, COUNTS)))
+                out.append((who[keep], pivot[keep], (100 * common >= self.percent * union)[keep], (common / union)[keep], counts.reshape(-1, COUNTS).astype(np.uint32)))
                 i = j
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -123,14 +125,16 @@ def count_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(40)).astype(np.int64) % COUNTS
 
 
-def packed(bucket: int, regions: np.ndarray, who: np.ndarray, position: np.ndarray, names: np.ndarray, n: np.ndarray, role: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """Postings of one bucket and, once each, the sets they are of."""
+def class_of(n: np.ndarray) -> np.ndarray:
+    """0 up to 512 shingles, then one more for each doubling: chance differences between unlike sets shrink with size."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 512)), 0, 8).astype(np.int64)
+
+
+def packed(bucket: int, regions: np.ndarray, who: np.ndarray, position: np.ndarray, names: np.ndarray, n: np.ndarray, role: np.ndarray, label: np.ndarray, wide: int, counts: np.ndarray, at: np.ndarray) -> tuple[int, bytes]:
+    """Postings of one bucket and, once each, the sets they are of. ``counts`` from ``at`` on are a set's."""
     used, local = np.unique(who, return_inverse=True)
-    head = np.array([len(used), len(who), counts.shape[1]], np.int64)
-    counts = counts[used]
-    shift = np.maximum(0, np.ceil(np.log2(counts.max(axis=1) + 1)).astype(np.int64) - 8)
-    counts = (counts >> shift[:, None]).astype(np.uint8)
-    parts = (head, names[used], n[used].astype(np.int64), regions, local.astype(np.int32), position.astype(np.int32), shift.astype(np.uint8), role[used], label[used], counts)
+    head = np.array([len(used), len(who), wide], np.int64)
+    parts = (head, names[used], n[used].astype(np.int64), regions, local.astype(np.int32), position.astype(np.int32), role[used], label[used], counts[ragged(at[used], at[used + 1] - at[used])])
     body = b"".join(x.tobytes() for x in parts)
     # counts and positions are small numbers: entropy coding halves what is shuffled
     return bucket, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
@@ -152,7 +156,8 @@ def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
     # a pivot's own distances are known, so a region without any other member has nobody to meet
     used = np.flatnonzero((member | (label[owner] != space.labels[pivot])) & space.occupied[pivot])
     doc = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(doc * COUNTS + count_of(keys), minlength=len(n) * COUNTS).reshape(-1, COUNTS)
+    counts = np.bincount(doc * COUNTS + count_of(keys), minlength=len(n) * COUNTS).reshape(-1, COUNTS).astype(np.uint32)
+    by_hash = keys
     if len(space.frequent):
         place = np.minimum(np.searchsorted(space.frequent, keys), len(space.frequent) - 1)
         rank = np.where(space.frequent[place] == keys, space.frequency[place], 0)
@@ -164,12 +169,20 @@ def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
     again = np.repeat(used, copies)
     nth = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
     cell = 1 + pivot[again] * space.salts + np.where(member[again], np.repeat(salt, copies), nth)
-    inside = np.concatenate([shared[again], counts[owner[again]] - shared[again]], axis=1)
-    kinds = (
-        (1, outside, np.zeros(len(outside), np.int64), np.zeros(len(outside), np.uint8), counts[outside]),
-        (0, owner[again], cell, np.where(member[again], 1, 2).astype(np.uint8), inside),
-    )
-    for odd, sets, cells, role, own in kinds:
+    role = np.where(member[again], 1, 2).astype(np.uint8)
+    # in the outer region, counts by a set's size; 255 stands for 255 and more
+    wide = COUNTS << class_of(n)
+    wide_at = np.concatenate([[0], np.cumsum(wide)])
+    fine = np.bincount(wide_at[doc] + ((by_hash >> np.uint64(40)).astype(np.int64) & (wide[doc] - 1)), minlength=wide_at[-1])
+    fine = np.minimum(fine, 255).astype(np.uint8)
+    slices = [(1, outside, np.zeros(len(outside), np.int64), np.zeros(len(outside), np.uint8), None)]
+    slices += [(0, owner[again[i : i + VISITS]], cell[i : i + VISITS], role[i : i + VISITS], again[i : i + VISITS]) for i in range(0, len(again), VISITS)]
+    for odd, sets, cells, roles, visits in slices:
+        if visits is None:
+            own, own_at, width = fine[ragged(wide_at[sets], wide[sets])], np.concatenate([[0], np.cumsum(wide[sets])]), 0
+        else:
+            own = np.minimum(np.concatenate([shared[visits], counts[sets] - shared[visits]], axis=1), 255).astype(np.uint8).ravel()
+            own_at, width = 2 * COUNTS * np.arange(len(sets) + 1), 2 * COUNTS
         length = n[sets] - at_least(n[sets], space.percent) + 1
         who = np.repeat(np.arange(len(sets)), length)
         position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
@@ -179,18 +192,56 @@ def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
         ends = np.searchsorted(bucket[order], np.arange(space.buckets + 1))
         for b in np.flatnonzero(np.diff(ends)).tolist():
             mine = order[ends[b] : ends[b + 1]]
-            yield packed(2 * b + odd, region[mine], who[mine], position[mine], names[sets], n[sets], role, label[sets], own)
+            yield packed(2 * b + odd, region[mine], who[mine], position[mine], names[sets], n[sets], roles, label[sets], width, own, own_at)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     blob = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n, m, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
     out, at = [], 24
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.uint8, n), (np.int32, n), (np.uint8, n * wide)):
+    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.int32, n)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
-    out[-1] = out[-1].reshape(-1, wide)
-    return tuple(out)
+    out.append(np.frombuffer(blob, np.uint8, -1, at))
+    return wide, tuple(out)
+
+
+class Sketches:
+    """Counts of many sets, by their width; a set's may be folded to half their width."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray, wide: int):
+        self.kind = np.zeros(len(sizes), np.int64) if wide else class_of(sizes)
+        width = np.full(len(sizes), wide) if wide else COUNTS << self.kind
+        at = np.concatenate([[0], np.cumsum(width)])
+        self.row = np.zeros(len(sizes), np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for c in np.unique(self.kind).tolist():
+            some = np.flatnonzero(self.kind == c)
+            self.row[some] = np.arange(len(some))
+            self.own[c] = flat[ragged(at[some], width[some])].reshape(len(some), -1)
+            if not wide and c:
+                pairs = self.own[c].astype(np.uint16).reshape(len(some), 2, -1)
+                folded = pairs.sum(axis=1, dtype=np.uint16)
+                folded[(pairs == 255).any(axis=1)] = 65535
+                self.half[c] = folded
+
+    def common_at_most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many shingles pairs of sets can have in common."""
+        out = np.zeros(len(x), np.int64)
+        kinds = self.kind[x] * 64 + self.kind[y]
+        for k in np.unique(kinds).tolist():
+            some = np.flatnonzero(kinds == k)
+            c, d = divmod(k, 64)
+            if abs(c - d) > 1:
+                out[some] = 2**40
+                continue
+            low = min(c, d)
+            a, b = (((self.own[e] if e == low else self.half[e])[self.row[z[some]]]) for e, z in ((c, x), (d, y)))
+            least = np.minimum(a, b)
+            full = 255 if low == c == d else 65535
+            out[some] = np.where((least >= min(full, 255)).any(axis=1), 2**40, least.sum(axis=1, dtype=np.int64))
+        return out
 
 
 def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +254,13 @@ def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def candidates(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of set names, the lesser first, that may be linked."""
-    parts = [unpacked(b) for b in blobs]
+    wides, parts = zip(*[unpacked(b) for b in blobs], strict=True)
     base = np.cumsum([0] + [len(p[0]) for p in parts])
-    names, sizes, regions, shifts, roles, labels, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5, 6, 7, 8))
+    names, sizes, regions, roles, labels, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5, 6, 7))
     positions = np.concatenate([p[4] for p in parts])
     sets = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
     del parts
+    sketches = Sketches(sizes, flat, wides[0])
     order = np.argsort(regions, kind="stable")
     same = regions[order][1:] == regions[order][:-1]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # regions of two sets at least
@@ -248,7 +300,7 @@ def candidates(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[n
             ok = np.zeros(len(x), bool)
             for m in range(0, len(x), step):
                 s, t = x[m : m + step], y[m : m + step]
-                ok[m : m + step] = common_at_most(counts[s], shifts[s], counts[t], shifts[t]) >= need[m : m + step]
+                ok[m : m + step] = sketches.common_at_most(s, t) >= need[m : m + step]
             p, q = names[x[ok]], names[y[ok]]
             found.append((np.minimum(p, q), np.maximum(p, q)))
             kept += len(p)
@@ -259,15 +311,6 @@ def candidates(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[n
     return distinct_pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
 
-def common_at_most(a: np.ndarray, a_shift: np.ndarray, b: np.ndarray, b_shift: np.ndarray) -> np.ndarray:
-    """How many shingles sets can have in common by their counts, which lost their ``shift`` lowest bits."""
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    for i in np.flatnonzero(a_shift | b_shift).tolist():
-        x, y = (((c[i].astype(np.int64) + 1) << int(s[i])) - 1 for c, s in ((a, a_shift), (b, b_shift)))
-        most[i] = np.minimum(x, y).sum()
-    return most
-
-
 def filter_places(ids: np.ndarray) -> np.ndarray:
     return (W.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
@@ -413,47 +456,65 @@ def pairs_of(docs: DataFrame, space: Space) -> DataFrame:
     return sent_rows.groupBy("bucket").applyInArrow(met, "a long, b long")
 
 
-def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those that finer counts of hashed shingles allow to be within the distance."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column(1):
-                keys = np.frombuffer(x.as_buffer(), np.uint64)
-                out.append(np.minimum(np.bincount(keys >> np.uint64(56), minlength=FINE), 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["name", "counts"])
-
-    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, FINE).astype(np.int64) for k in (2, 3))
-            most = np.minimum(x, y).sum(axis=1) + np.where((x == 65535) & (y == 65535), 2**40, 0).sum(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(most * (100 + percent) >= percent * (x.sum(axis=1) + y.sum(axis=1))))
-
-    fine = sets.mapInArrow(counted, "name long, counts binary")
-    first = pairs.join(fine.select(F.col("name").alias("a"), F.col("counts").alias("x")), "a")
-    second = first.join(fine.select(F.col("name").alias("b"), F.col("counts").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(allowed, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those within the distance."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    first = pairs.join(sets.select(F.col("name").alias("a"), F.col("keys").alias("keys_a")), "a")
-    second = first.join(sets.select(F.col("name").alias("b"), F.col("keys").alias("keys_b")), "b")
-    return second.select("a", "b", "keys_a", "keys_b").mapInArrow(compared, "a long, b long")
-
-
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 4096, salts: int = 2, bucket_postings: int = 1_500_000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs (a, b) within the distance connect.
+
+    Sets meet by component of the graph of pairs: small components share tasks, larger ones are cut into blocks, and a
+    task gets two blocks of at most about ``task_shingles``. So a set is shipped once, or once for each block of its
+    component, and not for each pair.
+    """
+    roots = components(pairs)
+    nodes = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().join(sizes, "name")
+    nodes = nodes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    nodes = save(nodes, "shingle-nodes")
+    totals = nodes.groupBy("root").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("blocks"))
+    tasks = max(1, -(-(nodes.agg(F.sum("n_shingles")).first()[0] or 0) // task_shingles))
+    place = nodes.join(totals, "root").select(
+        "name", "blocks", F.pmod(F.xxhash64("name", F.lit(1)), F.col("blocks")).cast("int").alias("block"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("task"),
+    )
+    place = save(place, "shingle-places")
+    first = place.select(F.col("name").alias("a"), F.col("task").alias("task"), F.col("blocks").alias("many"), F.col("block").alias("p"))
+    second = place.select(F.col("name").alias("b"), F.col("block").alias("q"))
+    dealt = pairs.join(first, "a").join(second, "b").select("task", "many", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "a", "b")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    shipped = sets.join(place, "name").select("task", "blocks", "block", "name", "keys", other)
+    shipped = shipped.select("task", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "name", "keys")
+
+    def met(key: tuple, open_: pa.Table, some: pa.Table) -> pa.Table:
+        number = {x: i for i, x in enumerate(some["name"].to_pylist())}
+        arrays = [np.frombuffer(k.as_buffer(), np.uint64) for k in some["keys"]]
+        n = np.array([len(k) for k in arrays], np.int64)
+        counts = np.array([np.bincount(k >> np.uint64(56), minlength=FINE) for k in arrays], np.int32).reshape(-1, FINE)
+        a, b = (np.array([number[x] for x in open_[c].to_pylist()], np.int64) for c in ("a", "b"))
+        parent = list(range(len(arrays)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for i in range(0, len(a), 8192):
+            s, t = a[i : i + 8192], b[i : i + 8192]
+            may = np.minimum(counts[s], counts[t]).sum(axis=1) * (100 + percent) >= percent * (n[s] + n[t])
+            for x, y in zip(s[may].tolist(), t[may].tolist(), strict=True):
+                if (p := root(x)) != (q := root(y)):
+                    common = len(np.intersect1d(arrays[x], arrays[y], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        parent[p] = q
+                        found.append((x, y))
+        names = some["name"].to_numpy()
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
+
+    keys = ["task", "blocks", "low", "high"]
+    left = dealt.withColumnRenamed("many", "blocks").toDF(*keys, "a", "b")
+    return left.groupBy(*keys).cogroup(shipped.toDF(*keys, "name", "keys").groupBy(*keys)).applyInArrow(met, "a long, b long")
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 2048, salts: int = 2, bucket_postings: int = 1_500_000, task_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs``."""
     space = pivots_of(docs, width, percent, pivots, salts)
     described = described_sets(docs, space)
@@ -474,16 +535,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int
         wanted[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
         found = whole_sets(docs, width, wanted.view(np.uint64)).join(nodes, "name").dropDuplicates(["name"])
         sets = save(found, "shingle-wanted")
-        open_ = save(screened(open_, sets, percent), "shingle-open")
-        least = open_.union(open_.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        star = save(least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-star")
-        links = links.union(save(verified(star, sets, percent), "shingle-links"))
-        roots = components(links)
-        rest = open_.join(star, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        rest = save(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "shingle-open")
-        links = links.union(save(verified(rest, sets, percent), "shingle-links"))
+        links = links.union(save(verified(open_, sets, classes.select("name", "n_shingles").distinct(), percent, task_shingles), "shingle-links"))
         drop(sets)
     roots = components(links)
     named = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))

@@ -263,7 +263,7 @@ def test_jaccard_join_is_exact(spark, width, percent, pivots):
     rows = near_copies() + [r for r in table() if r[0] is not None and r[0] != 307]
     rows = [(10_000 + i if r in table() else r[0], *r[1:]) for i, r in enumerate(rows)]
     frame = spark.createDataFrame(rows, DOCS).repartition(5)
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame, width, percent, pivots, bucket_postings=700).collect()}
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame, width, percent, pivots, bucket_postings=700, task_shingles=900).collect()}
     assert out == brute_components(rows, width, percent)
 
 
@@ -275,14 +275,16 @@ def test_jaccard_join_edges(docs, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
-def test_long_sets_keep_their_counts_exact():
+@pytest.mark.parametrize("n", [300, 520, 3000, 60_000, 4_000_000])
+def test_counts_never_understate_what_is_common(n):
     rng = np.random.default_rng(3)
-    a = np.unique(rng.integers(0, 2**63, 60_000).astype(np.uint64))
-    b = np.unique(np.concatenate([a[:55_000], rng.integers(0, 2**63, 4000).astype(np.uint64)]))
-    counts = np.array([np.bincount(jaccard_join.count_of(s), minlength=jaccard_join.COUNTS) for s in (a, b)])
-    shift = np.maximum(0, np.ceil(np.log2(counts.max(axis=1) + 1)).astype(int) - 8)
-    small = (counts >> shift[:, None]).astype(np.uint8)
-    assert jaccard_join.common_at_most(small[:1], shift[:1], small[1:], shift[1:])[0] >= len(np.intersect1d(a, b))
+    a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 2**63, n // 50).astype(np.uint64)]))
+    sizes = np.array([len(a), len(b)])
+    wide = jaccard_join.COUNTS << jaccard_join.class_of(sizes)
+    flat = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (w - 1), minlength=w), 255).astype(np.uint8) for s, w in zip((a, b), wide, strict=True)]
+    most = jaccard_join.Sketches(sizes, np.concatenate(flat), 0).common_at_most(np.array([0, 0]), np.array([1, 0]))
+    assert most[0] >= len(np.intersect1d(a, b)) and most[1] >= len(a)
 
 
 # classifiers
