@@ -3,12 +3,11 @@
 A file holds the ids of consecutive documents, one after the other, and two non-decreasing sequences in Elias-Fano
 form: where each document ends, and the documents' ids. Such a sequence of n values up to u takes about
 n (2 + log2(u / n)) bits: the low bits of all values packed, the high parts as a bit vector with a one for each value.
-Every 512th one's position is kept as a sample, from which select finds any value's high part by counting at most a few
-bytes on; no table of 64-bit offsets exists.
+Every 512th one's position is kept as a sample, from which select counts on; no table of 64-bit offsets exists.
 
-Layout, little-endian: 8 bytes magic; header of 10 unsigned 64-bit numbers (documents, ids, bytes of an id, global
-start, then universe, low-bit width and bytes of high bits of either sequence); ids; low bits, high bits and samples of
-either sequence. All sections start at multiples of 8 bytes.
+Layout, little-endian: 8 bytes magic; unsigned 64-bit numbers (ids, bytes of an id, then of either sequence: values,
+largest value, low-bit width, sampling step, bytes of low and high bits, samples, bytes of a sample); the first doc_id;
+ids; low bits, high bits and samples of either sequence. All sections start at multiples of 8 bytes.
 
 Documents are ordered by id, null ids last; documents equal in id stay together in one file in order of their ids'
 bytes, save null ids, which spread over files of their own. A null text is an empty text, which is just its end.
@@ -17,111 +16,45 @@ bytes, save null ids, which spread over files of their own. A null text is an em
 from __future__ import annotations
 
 import json
-import mmap
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarmscope.llm.storage import save
+from swarmscope.llm import words as W
+from swarmscope.llm.elias_fano import EliasFano
+from swarmscope.llm.files import read_bytes, write_arrays, write_bytes
+from swarmscope.llm.storage import discard, release, save
+from swarmscope.llm.stretches import Distinct, Table, hash_stretch, ragged, stretches, unpack_distinct
 
 MAGIC = b"SWTOKEF1"
-SAMPLE = 512
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: PLACE[b, k]: the position of the k-th one in the byte b.
-PLACE = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    PLACE[_b, : ONES[_b]] = [i for i in range(8) if _b >> i & 1]
-
-
 def padded(b: bytes) -> bytes:
     return b + bytes(-len(b) % 8)
 
 
-@dataclass
-class EliasFano:
-    n: int
-    universe: int
-    width: int
-    low: np.ndarray  # bytes
-    high: np.ndarray  # bytes
-    samples: np.ndarray  # of every SAMPLE-th one, its bit position
-
-    @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
-        """Of non-decreasing values of at least 0."""
-        values = values.astype(np.uint64)
-        n = len(values)
-        universe = int(values[-1]) if n else 0
-        width = max(0, (universe // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)[None, :]).astype(np.uint8) & 1 if width else np.zeros((0, 0), np.uint8)
-        low = np.packbits(bits.ravel(), bitorder="little")
-        ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
-        high[ones] = 1
-        return cls(n, universe, width, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint64))
-
-    def select(self, i: np.ndarray) -> np.ndarray:
-        """The bit positions of the ones number ``i``."""
-        i = np.asarray(i, np.int64)
-        start = self.samples[i // SAMPLE].astype(np.int64)
-        byte = start >> 3
-        # ones still to pass, counted from the first bit of the sample's byte
-        left = i % SAMPLE + ONES[self.high[byte] & ((1 << (start & 7)) - 1).astype(np.uint8)]
-        while True:
-            has = ONES[self.high[byte]]
-            on = left >= has
-            if not on.any():
-                return (byte << 3) + PLACE[self.high[byte], left]
-            left = np.where(on, left - has, left)
-            byte = byte + on
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        i = np.asarray(i, np.int64)
-        value = (self.select(i) - i).astype(np.uint64) << np.uint64(self.width)
-        for k in range(self.width):
-            bit = i * self.width + k
-            value |= (self.low[bit >> 3].astype(np.uint64) >> (bit & 7).astype(np.uint64) & np.uint64(1)) << np.uint64(k)
-        return value
-
-    def all(self) -> np.ndarray:
-        """All values, without select."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        if self.width:
-            bits = np.unpackbits(self.low, count=self.n * self.width, bitorder="little").reshape(self.n, self.width)
-            value |= (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return value
-
-    def sections(self) -> list[bytes]:
-        return [padded(self.low.tobytes()), padded(self.high.tobytes()), padded(self.samples.astype("<u8").tobytes())]
-
-
-def encode_file(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, start: int) -> bytes:
+def encode_file(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray) -> list[bytes]:
     """``doc_ids``: sorted signed 64-bit numbers; they are stored by their distance from the first."""
     base = int(doc_ids[0]) if len(doc_ids) else 0
-    ends, docs = EliasFano.of(np.cumsum(lengths)), EliasFano.of((doc_ids.astype(np.int64) - base).astype(np.uint64))
-    head = [len(lengths), len(ids), ids.itemsize, start, ends.universe, ends.width, len(ends.high), docs.universe, docs.width, len(docs.high)]
-    header = np.array(head, "<u8").tobytes() + np.array([base], "<i8").tobytes()
-    return b"".join([MAGIC, header, padded(ids.tobytes()), *ends.sections(), *docs.sections()])
+    sequences = [EliasFano.of(np.cumsum(lengths)), EliasFano.of((doc_ids.astype(np.int64) - base).astype(np.uint64))]
+    head = [len(ids), ids.itemsize, *sequences[0].header(), *sequences[1].header()]
+    parts = [MAGIC, np.array(head, "<u8").tobytes(), np.array([base], "<i8").tobytes(), padded(ids.tobytes())]
+    return parts + [padded(x.tobytes()) for s in sequences for x in (s.low, s.high, s.samples)]
 
 
 class TokenFile:
     """A file's contents, as views of its bytes."""
 
-    def __init__(self, data: bytes | memoryview | mmap.mmap):
+    def __init__(self, data: bytes | memoryview):
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token file")
-        n, n_ids, self.id_bytes, self.start, *rest = (int(x) for x in np.frombuffer(view, "<u8", 10, 8))
-        base = int(np.frombuffer(view, "<i8", 1, 88)[0])
-        self.n, self.base, at = n, base, 96
+        n_ids, self.id_bytes, *heads = (int(x) for x in np.frombuffer(view, "<u8", 18, 8))
+        self.base = int(np.frombuffer(view, "<i8", 1, 152)[0])
+        at = 160
 
         def section(size: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -131,9 +64,10 @@ class TokenFile:
 
         self.ids = section(n_ids, f"<u{self.id_bytes}")
         parts = []
-        for universe, width, high in (rest[:3], rest[3:]):
-            parts.append(EliasFano(n, universe, width, section(-(-n * width // 8), "u1"), section(high, "u1"), section(-(-n // SAMPLE), "<u8")))
+        for n, universe, width, sample, low, high, samples, size in (heads[:8], heads[8:]):
+            parts.append(EliasFano(n, universe, width, sample, section(low, "u1"), section(high, "u1"), section(samples, f"<u{size}")))
         self.ends, self.docs = parts
+        self.n = self.ends.n
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document number ``i``, found by select."""
@@ -145,64 +79,81 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; frequent space-separated stretches are kept by what they encode to.
+    """Ids of texts by a tokenizer file.
 
-    ``by_space``: the tokenizer splits before a single space between two signs that are no white space (byte-level BPE
-    does), so that stretches encode alone as they do in their text. Other texts are encoded whole.
+    ``by_space``: the tokenizer splits before a single space or line end between two signs that are no white space
+    (byte-level BPE does), so that a stretch encodes alone, with the sign before it, as it does in its text. Then each
+    distinct stretch of the whole table is encoded once; odd texts are encoded whole.
     """
 
-    KEPT = 400_000
-
     def __init__(self, path: str, end: int, by_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end], self.kind).tobytes()
-        self.by_space = by_space
-        self.kept: dict[str, bytes] = {}
+        self.end = np.array([end], self.kind)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, stretches: list[str]) -> None:
-        """Encode stretches with a space before them, many at once with line ends between."""
-        plain = [x for x in stretches if "\n" not in x] if self.line is not None else []
-        if plain:
-            ids = np.array(self.tokenizer.encode("\n".join([" " + x for x in plain]), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) == len(plain) - 1:
-                data, size = ids.tobytes(), self.kind.itemsize
-                firsts, lasts = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
-                self.kept.update(zip(plain, [data[i:j] for i, j in zip(firsts, lasts, strict=True)], strict=True))
-        for x in stretches:
-            if x not in self.kept:
-                self.kept[x] = self.whole(" " + x)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = self.end
-                continue
-            stretches = text.split(" ") if self.by_space else []
-            # strip() takes more signs than the tokenizer's white space at most; such texts are encoded whole
-            if not stretches or any(not x or x[0].isspace() or x[-1].isspace() for x in stretches):
-                out[i] = self.whole(text) + self.end
+        self.by_space = by_space and len(line) == 1
+        self.line = np.array(line[:1], self.kind)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def stretches(self, some: list[str]) -> list[np.ndarray]:
+        """Ids of stretches, those without a line end before them after a space; many at once with line ends between."""
+        out: list[np.ndarray] = []
+        for k in range(0, len(some), 4096):
+            part = some[k : k + 4096]
+            ids = self.whole("\n".join([x[1:] if x[0] == "\n" else " " + x for x in part]))
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(cuts) == len(part) - 1:
+                found = [ids[i:j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
             else:
-                split.append((i, stretches))
-        new = {x for _, stretches in split for x in stretches[1:]}.difference(self.kept)
-        if len(self.kept) + len(new) > self.KEPT:
-            self.kept.clear()
-            new = {x for _, stretches in split for x in stretches[1:]}
-        if new:
-            self.learn(sorted(new))
-        for i, stretches in split:
-            out[i] = b"".join([self.whole(stretches[0]), *[self.kept[x] for x in stretches[1:]], self.end])
-        return out  # type: ignore[return-value]
+                found = [self.whole(x[1:] if x[0] == "\n" else " " + x) for x in part]
+            out += [np.concatenate([self.line, ids]) if x[0] == "\n" else ids for x, ids in zip(part, found, strict=True)]
+        return out
+
+    def encode(self, texts: pa.Array, table: Table | None) -> pa.Array:
+        """Ids of each text and an end, as bytes."""
+        parts: list[pa.Array] = []
+        for data, offsets in W.buffers(texts):
+            for i, j in W.runs(offsets):
+                parts.append(self.encode_run(data, offsets[i : j + 1], table))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray, table: Table | None) -> pa.Array:
+        run = stretches(data, offsets)
+        n = len(offsets) - 1
+        whole = np.flatnonzero(run.odd if table else np.diff(offsets) > 0)
+        rest = {int(k): self.whole(bytes(data[offsets[k] : offsets[k + 1]]).decode()) for k in whole}
+        if table:
+            first, index, which = np.unique(run.first_hash, return_index=True, return_inverse=True)
+            if (run.second_hash != run.second_hash[index][which]).any():
+                raise RuntimeError("two stretches of a run share a hash")
+            ids, starts, sizes = table.find(first, run.second_hash[index])
+            starts, sizes = starts[which], sizes[which]
+            heads = run.at[:-1][np.diff(run.at) > 0]
+            starts[heads] += 1  # a text does not start with a line end
+            sizes[heads] -= 1
+            counts = np.diff(run.at)
+        else:
+            ids, starts, sizes, counts = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+        # after each text's stretches, its ids if it is odd, and its end
+        more = [ids.astype(self.kind), *[rest[k] for k in sorted(rest)], self.end]
+        at_more = np.cumsum([0, *map(len, more)])
+        place = np.full(n, at_more[-2])
+        extra_start, extra_size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k, i in enumerate(sorted(rest)):
+            extra_start[i], extra_size[i] = at_more[1 + k], len(rest[i])
+        to = np.concatenate([[0], np.cumsum(counts + 2)])
+        all_starts, all_sizes = np.zeros(to[-1], np.int64), np.zeros(to[-1], np.int64)
+        own = np.arange(len(starts)) + np.repeat(2 * np.arange(n), counts)
+        all_starts[own], all_sizes[own] = starts, sizes
+        all_starts[to[1:] - 2], all_sizes[to[1:] - 2] = extra_start, extra_size
+        all_starts[to[1:] - 1], all_sizes[to[1:] - 1] = place, 1
+        out = np.concatenate(more)[ragged(all_starts, all_sizes)]
+        total = np.concatenate([[0], np.cumsum(all_sizes)])[to] * self.kind.itemsize
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(total.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -216,11 +167,7 @@ def encoder(*args) -> Encoder:
     return _encoders[args]
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space: bool = True, documents_per_file: int = 10_000) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space: bool = True, documents_per_file: int = 10_000, stretches_per_file: int = 2_000_000) -> DataFrame:
     """Write all documents; returns one row per file: file, path, start, n_docs, n_ids, in order."""
     spark = docs.sparkSession
     total = docs.agg(F.count("doc_id").alias("some"), F.sum(F.col("doc_id").isNull().cast("long")).alias("none")).first()
@@ -229,19 +176,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space:
     cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else []
     bounds = np.array(cuts, np.int64)
 
+    table = learn(docs, f"{folder}/_table", tokenizer, end, stretches_per_file) if by_space else None
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, end, by_space)
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                some = batch.slice(i, 500)
-                ids = own.encode(some.column(1).to_pylist())
+            for i in range(0, len(batch), 1000):
+                some = batch.slice(i, 1000)
+                ids = own.encode(some.column(1), table if own.by_space else None)
                 file = np.searchsorted(bounds, some.column(0).fill_null(0).to_numpy(), side="left")
                 for k in np.flatnonzero(some.column(0).is_null().to_numpy(zero_copy_only=False)).tolist():
-                    file[k] = files + zlib.crc32(ids[k]) % max(1, empty)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array(file.astype(np.int32))], ["doc_id", "ids", "file"])
+                    file[k] = files + zlib.crc32(ids[k].as_py()) % max(1, empty)
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, pa.array(file.astype(np.int32))], ["doc_id", "ids", "file"])
 
     ids = docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary, file int")
-    target, kind = folder, "<u2" if vocabulary(tokenizer, end) <= 1 << 16 else "<u4"
+    kind = "<u2" if vocabulary(tokenizer, end) <= 1 << 16 else "<u4"
 
     def written(rows: pd.DataFrame) -> pd.DataFrame:
         file = int(rows["file"].iloc[0])
@@ -249,18 +198,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space:
         lengths = rows["ids"].map(len).to_numpy() // np.dtype(kind).itemsize
         all_ids = np.frombuffer(b"".join(rows["ids"]), kind)
         keys = rows["doc_id"].fillna(0).to_numpy(np.int64)
-        data = encode_file(all_ids, lengths, keys, 0)
-        system, path = open_folder(f"{target}/part-{file:06d}.tok")
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        # a file appears whole or not at all, and each attempt writes the same bytes
-        draft = f"{path}.{zlib.crc32(data):08x}.{np.random.default_rng().integers(2**62)}"
-        with system.open_output_stream(draft) as out:
-            out.write(data)
-        system.move(draft, path)
-        return pd.DataFrame({"file": [file], "path": [f"{target}/part-{file:06d}.tok"], "n_docs": [len(rows)], "n_ids": [int(lengths.sum())], "null_ids": [bool(rows["doc_id"].isna().any())]})
+        path = f"{folder}/part-{file:06d}.tok"
+        write_bytes(path, encode_file(all_ids, lengths, keys))
+        return pd.DataFrame({"file": [file], "path": [path], "n_docs": [len(rows)], "n_ids": [int(lengths.sum())], "null_ids": [bool(rows["doc_id"].isna().any())]})
 
     made = ids.groupBy("file").applyInPandas(written, "file int, path string, n_docs long, n_ids long, null_ids boolean")
     found = sorted(save(made, "token-manifest").collect())  # one row for each file
+    discard(spark, f"{folder}/_table")
     start, rows = 0, []
     for r in found:
         rows.append((r["file"], r["path"], start, r["n_docs"], r["n_ids"], r["null_ids"]))
@@ -268,29 +212,56 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space:
     return spark.createDataFrame(rows, "file int, path string, start long, n_docs long, n_ids long, null_ids boolean")
 
 
+def learn(docs: DataFrame, folder: str, tokenizer: str, end: int, stretches_per_file: int) -> Table:
+    """Encode each distinct stretch of all texts once, into files of the shared folder."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // 8 // stretches_per_file))
+    table = Table(folder, int(buckets))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Distinct(buckets)
+
+        def batch_of(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
+
+        for batch in batches:
+            for data, offsets in W.buffers(batch.column(0)):
+                for i, j in W.runs(offsets):
+                    found.add(stretches(data, offsets[i : j + 1], both=False))
+                    if len(found.held) >= 24:
+                        yield batch_of(found.packed())
+        yield batch_of(found.packed())
+
+    def encoded(rows: pa.Table) -> pa.Table:
+        own = encoder(tokenizer, end, True)
+        some = sorted(set().union(*[unpack_distinct(b.as_buffer()) for b in rows["packed"]]))
+        ids = own.stretches(some)
+        first, second = hash_stretch(some)
+        order = np.argsort(first, kind="stable")
+        sizes = np.array([len(x) for x in ids], np.int64)[order]
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32 if sizes.sum() < 1 << 32 else np.uint64)
+        bucket = rows["bucket"][0].as_py()
+        write_arrays(table.path(bucket), {"first": first[order], "second": second[order], "starts": starts, "ids": np.concatenate([ids[k] for k in order.tolist()])})
+        return pa.table({"bucket": [bucket], "n": [len(some)]})
+
+    docs.select("text").mapInArrow(distinct, "bucket long, packed binary").groupBy("bucket").applyInArrow(encoded, "bucket long, n long").agg(F.sum("n")).collect()
+    release(docs.sparkSession)
+    return table
+
+
 def vocabulary(tokenizer: str, end: int) -> int:
     with open(tokenizer, encoding="utf-8") as f:
         about = json.load(f)
     return max([end, *about["model"]["vocab"].values(), *[x["id"] for x in about.get("added_tokens", [])]]) + 1
 
 
-def opened(path: str) -> TokenFile:
-    """Memory-mapped where the folder is mounted, else read."""
-    system, at = open_folder(path)
-    if isinstance(system, fs.LocalFileSystem):
-        with open(at, "rb") as f:
-            return TokenFile(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    with system.open_input_file(at) as f:
-        return TokenFile(f.read())
-
-
 def read(manifest: DataFrame) -> DataFrame:
     """What the files hold: doc_id, start (ids of all documents before it), n_tokens, and ids_crc32 over 32-bit ids."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                file = opened(row.path)
+                file = TokenFile(read_bytes(row.path))
                 ends = file.ends.get(np.arange(file.n)).astype(np.int64)
                 starts = np.concatenate([[0], ends])[:-1]
                 crcs = [zlib.crc32(file.ids[i:j].astype("<u4").tobytes()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
