@@ -75,7 +75,7 @@ _ELLIPSE = {"image": "l_orderkey", "inst": "k", "cx": "50 + cast(l_partkey % 40
 
 
 def ellipses(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame:
-    out = _numbered(spark, sf_dir).where("l_orderkey % 20 = 0").selectExpr(*[f"{e} as {n}" for n, e in _ELLIPSE.items()])
+    out = _numbered(spark, sf_dir).selectExpr(*[f"{e} as {n}" for n, e in _ELLIPSE.items()])
     return out.selectExpr("image", "inst", "cx + 3 as cx", "cy - 2 as cy", "a", "b") if shifted else out
 
 
