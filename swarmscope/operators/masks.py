@@ -107,13 +107,20 @@ def near_spherical(runs: DataFrame, tolerance: float = 0.10, keys: list[str] = K
 
 def polygon_runs(polygons: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Runs of pixels whose centres lie in ``polygon`` (array of x, y), vertices cut to whole pixels, by crossings of
-    each line with the edges; even-odd."""
+    each line with the edges; even-odd. Crossings are sorted within a mask's row: each line has an even number of them."""
     corner = lambda p: F.struct(p["x"].cast("int").cast("double").alias("x"), p["y"].cast("int").cast("double").alias("y"))
     ring = polygons.select(*keys, F.transform("polygon", corner).alias("p"))
-    edges = ring.select(*keys, F.explode(F.arrays_zip(F.col("p").alias("a"), F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("b"))).alias("e")).select(*keys, "e.a", "e.b")
-    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
-    lines = edges.where(low < high).withColumn("y", F.explode(F.sequence(low.cast("int"), high.cast("int") - 1)))
-    crossing = F.col("a.x") + (F.col("y") + 0.5 - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))
-    found = lines.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(crossing)).alias("c"))
-    spans = F.transform(F.sequence(F.lit(0), F.expr("cast(size(c) div 2 as int)") - 1), lambda i: F.struct(F.ceil(F.col("c")[2 * i] - 0.5).cast("int").alias("x0"), F.ceil(F.col("c")[2 * i + 1] - 0.5).cast("int").alias("x1")))
-    return found.select(*keys, "y", F.inline(spans)).where("x1 > x0")
+    edges = ring.select(*keys, F.arrays_zip(F.col("p").alias("a"), F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("b")).alias("e"))
+    masks = edges.groupBy(*keys).agg(F.flatten(F.collect_list("e")).alias("e"))
+    low, high = (lambda e: F.least(e["a"]["y"], e["b"]["y"])), (lambda e: F.greatest(e["a"]["y"], e["b"]["y"]))
+
+    def crossings(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.transform(F.sequence(low(e).cast("int"), high(e).cast("int") - 1), lambda y: F.struct(y.alias("y"), (a["x"] + (y + 0.5 - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"])).alias("x")))
+
+    found = masks.select(*keys, F.sort_array(F.flatten(F.transform(F.filter("e", lambda e: low(e) < high(e)), crossings))).alias("c")).where(F.size("c") > 0)
+    spans = F.transform(
+        F.sequence(F.lit(0), F.expr("cast(size(c) div 2 as int)") - 1),
+        lambda i: F.struct(F.col("c")[2 * i]["y"].alias("y"), F.ceil(F.col("c")[2 * i]["x"] - 0.5).cast("int").alias("x0"), F.ceil(F.col("c")[2 * i + 1]["x"] - 0.5).cast("int").alias("x1")),
+    )
+    return found.select(*keys, F.inline(spans)).where("x1 > x0")

@@ -123,7 +123,7 @@ BOX_POLYGON = ["array(struct(x1 as x, y1 as y), struct(x2 as x, y1 as y), struct
 
 @query("WITH " + BOXES + ", c AS (SELECT image, gt AS inst, CAST(trunc(x1) AS INT) AS x0, CAST(trunc(x2) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y0, CAST(trunc(y2) AS INT) AS y1 FROM truth WHERE image % 50 = 0) SELECT image, inst, CAST(unnest(range(y0, y1)) AS INT) AS y, x0, x1 FROM c")
 def g17_polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polygons = truth(spark, sf_dir).where("image % 50 = 0").selectExpr("image", "gt as inst", *BOX_POLYGON)
+    polygons = truth(spark, sf_dir).selectExpr("image", "gt as inst", *BOX_POLYGON)
     return masks.polygon_runs(polygons)
 
 

@@ -12,6 +12,7 @@ import __spark_entry__
 SF = "/root/testdata/sf0.001"
 #: Queries with the id filter of their SQL.
 PARTS = dict.fromkeys(["a24_mask_moments", "a25_principal_axis", "a26_half_widths", "g08_near_spherical", "g11_mask_bbox", "g16_mask_iou"], " WHERE l_orderkey % 20 = 0")
+PARTS |= {"g17_polygon_runs": " WHERE image % 50 = 0"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
