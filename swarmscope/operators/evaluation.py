@@ -44,23 +44,29 @@ def pairs_at(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFram
 
 def greedy_match(pairs: DataFrame, predictions: DataFrame, threshold: float, order: str = "score") -> DataFrame:
     """image, pred, score, gt: each prediction in turn takes its best free truth of IoU ``threshold`` or more, ties to the
-    smaller number; gt is null for those that find none. ``order``: score (then number), or pred for detector order.
+    smaller number; gt is null for those that find none. ``order``: score (then number), or pred for detector order."""
+    return greedy_matches(pairs, predictions, [threshold], order).drop("threshold")
 
-    A fold over one image's predictions; images are independent.
+
+def greedy_matches(pairs: DataFrame, predictions: DataFrame, thresholds: list[float] = THRESHOLDS, order: str = "score") -> DataFrame:
+    """The matches of ``greedy_match`` at each threshold, each of its own.
+
+    A fold over one image's predictions; images and thresholds are independent.
     """
-    options = pairs.where(F.col("iou") >= threshold).groupBy("image", "pred").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("far"), "gt"))).alias("options"))
+    options = pairs.where(F.col("iou") >= min(thresholds)).groupBy("image", "pred").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("far"), "gt"))).alias("options"))
     key = -F.col("score") if order == "score" else F.col("pred").cast("double")
     listed = predictions.join(options, ["image", "pred"], "left").groupBy("image").agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), "pred", "score", F.coalesce("options", F.expr("cast(array() as array<struct<far: double, gt: bigint>>)")).alias("options")))).alias("turns"))
+    listed = listed.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     start = F.expr("struct(cast(array() as array<bigint>) as used, cast(array() as array<struct<pred: bigint, score: double, gt: bigint>>) as found)")
 
     def turn(state: Column, t: Column) -> Column:
-        free = F.filter(t["options"], lambda o: ~F.array_contains(state["used"], o["gt"]))
+        free = F.filter(t["options"], lambda o: (-o["far"] >= F.col("threshold")) & ~F.array_contains(state["used"], o["gt"]))
         gt = F.when(F.size(free) > 0, F.element_at(free, 1)["gt"])
         used = F.when(gt.isNotNull(), F.concat(state["used"], F.array(gt))).otherwise(state["used"])
         return F.struct(used.alias("used"), F.concat(state["found"], F.array(F.struct(t["pred"].cast("long").alias("pred"), t["score"].alias("score"), gt.alias("gt")))).alias("found"))
 
-    folded = listed.select("image", F.aggregate("turns", start, turn)["found"].alias("found"))
-    return folded.select("image", F.inline("found"))
+    folded = listed.select("threshold", "image", F.aggregate("turns", start, turn)["found"].alias("found"))
+    return folded.select("threshold", "image", F.inline("found"))
 
 
 def unmatched(matches: DataFrame, truth: DataFrame) -> DataFrame:
@@ -116,7 +122,8 @@ def precision_recall(flags: DataFrame, n_gt: Column, keys: list[str]) -> DataFra
 
 def envelope(curve: DataFrame, keys: list[str]) -> DataFrame:
     """The largest precision from each rank on."""
-    later = Window.partitionBy(*keys).orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    # backwards, as a frame that ends at the last row is gone through anew for each row
+    later = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return curve.withColumn("envelope", F.max("precision").over(later))
 
 

@@ -228,7 +228,7 @@ def a17_size_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.size_recall(truth(spark, sf_dir).join(hit, ["image", "gt"], "left").fillna(0, ["found"])))
 
 
-# true positives by a rule without state, so that the curves have an oracle of their own
+# the SQL's true positives are by a rule without state, which may count a truth more than once; the queries match one to one
 RULED = P + ", " + LEVELS + """, best AS (SELECT image, pred, max(iou) AS iou FROM pairs GROUP BY ALL),
 flags AS (SELECT threshold, image, pred, score, CASE WHEN coalesce(b.iou, 0) >= threshold THEN 1 ELSE 0 END AS tp FROM predictions LEFT JOIN best b USING (image, pred) CROSS JOIN levels),
 curve AS (SELECT *, row_number() OVER w AS rank, sum(tp) OVER w AS tps FROM flags WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, image, pred ROWS UNBOUNDED PRECEDING)),
@@ -236,23 +236,22 @@ rates AS (SELECT *, tps / rank AS precision, tps / (SELECT count(*) FROM truth)
 enveloped AS (SELECT *, max(precision) OVER (PARTITION BY threshold ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM rates)"""
 
 
-def ruled(spark: SparkSession, sf_dir: str, thresholds: list[float]) -> DataFrame:
-    best = pairs(spark, sf_dir).groupBy("image", "pred").agg(F.max("iou").alias("iou"))
-    flagged = predictions(spark, sf_dir).select("image", "pred", "score").join(best, ["image", "pred"], "left")
-    flagged = flagged.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    flagged = flagged.withColumn("tp", F.when(F.coalesce("iou", F.lit(0.0)) >= F.col("threshold"), 1).otherwise(0))
+def curves(spark: SparkSession, sf_dir: str, thresholds: list[float]) -> DataFrame:
+    """Dataset precision and recall at each threshold, each truth matched once at most."""
+    found = evaluation.greedy_matches(pairs(spark, sf_dir), predictions(spark, sf_dir), thresholds)
+    flagged = found.withColumn("tp", F.when(F.col("gt").isNotNull(), 1).otherwise(0))
     n_gt = truth(spark, sf_dir).agg(F.count("*")).scalar()
     return evaluation.precision_recall(flagged.withColumn("n_gt", n_gt), F.col("n_gt"), ["threshold"])
 
 
 @query(RULED + " SELECT image, pred, rank, CAST(tps AS BIGINT) AS tps, round(precision, 6) AS precision, round(recall, 6) AS recall FROM rates WHERE threshold = 0.5")
 def w05_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ruled(spark, sf_dir, [0.5]).select("image", "pred", "rank", "tps", "precision", "recall"))
+    return rounded(curves(spark, sf_dir, [0.5]).select("image", "pred", "rank", "tps", "precision", "recall"))
 
 
 @query(RULED + " SELECT image, pred, rank, round(envelope, 6) AS envelope FROM enveloped WHERE threshold = 0.5")
 def w06_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluation.envelope(ruled(spark, sf_dir, [0.5]), ["threshold"]).select("image", "pred", "rank", "envelope"))
+    return rounded(evaluation.envelope(curves(spark, sf_dir, [0.5]), ["threshold"]).select("image", "pred", "rank", "envelope"))
 
 
 AP = RULED + """, top AS (SELECT threshold, recall, max(envelope) AS envelope FROM enveloped GROUP BY ALL),
@@ -263,13 +262,13 @@ ap AS (SELECT threshold, avg(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE coalesce(e, 0
 
 @query(AP + " SELECT round(threshold, 2) AS threshold, round(ap, 6) AS ap FROM ap")
 def a19_dataset_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ap = evaluation.average_precision(ruled(spark, sf_dir, evaluation.THRESHOLDS), ["threshold"])
+    ap = evaluation.average_precision(curves(spark, sf_dir, evaluation.THRESHOLDS), ["threshold"])
     return ap.select(F.round("threshold", 2).alias("threshold"), F.round("ap", 6).alias("ap"))
 
 
 @query(AP + " SELECT round(max(ap) FILTER (round(threshold, 2) = 0.5), 6) AS ap50, round(max(ap) FILTER (round(threshold, 2) = 0.75), 6) AS ap75, round(avg(ap), 6) AS map50_95 FROM ap")
 def a20_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluation.map_table(evaluation.average_precision(ruled(spark, sf_dir, evaluation.THRESHOLDS), ["threshold"])))
+    return rounded(evaluation.map_table(evaluation.average_precision(curves(spark, sf_dir, evaluation.THRESHOLDS), ["threshold"])))
 
 
 def a18_image_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
