@@ -8,11 +8,11 @@ The distance of two sets is one minus their Jaccard similarity, a metric. With a
    other, as they are connected, nor do those of regions that a chain of common members connects. By the triangle
    inequality a set linked with one of a region lies within 2e of its pivot: sets within 2e that are not connected with
    the region are replicated into it, and meet only its members there. Sets beyond e of every pivot form the outer region.
-3. Regions join recursively with single shingles as pivots. All but the rarest pairs of texts are at distance exactly 1
-   from each other, where no pivot document can tell them apart; a single shingle is within less than 1 of just the sets
-   that hold it. Shingles are ordered, those in a great many sets last. Two sets within e have at least ceil(.85 n) of
-   n shingles in common, so each is replicated to its first n - ceil(.85 n) + 1 shingles, where they must meet.
-4. In such a region, pairs survive that the sizes, the positions and counts of hashed shingles (64 or, for long texts,
+3. The outer region, with most of the sets, is joined once by a prefix filter; nothing recurses. All but the rarest pairs
+   of texts are at distance exactly 1 from each other, where no further pivot document can tell them apart. Shingles are
+   ordered, those in a great many sets last. Two sets within e have at least ceil(.85 n) of n shingles in common, so each
+   is replicated to its first n - ceil(.85 n) + 1 shingles, where they must meet.
+4. Of sets that meet, pairs survive that the sizes, the positions and counts of hashed shingles (64 or, for long texts,
    more) allow to be within e; in a pivot's region what sets share with the pivot and what not is counted apart.
 5. Pairs left meet by component of their graph, in blocks of bounded size; 256 counts screen them, and whole sets are
    compared where they are not connected yet. No link between different texts is lost, and groups of links that are
