@@ -3,11 +3,12 @@
 Vectors link if their labels are equal and not null and their cosine is ``least`` or more. Exact copies collapse first.
 Unit vectors are projected on ``projections`` random directions. Two that link differ in a projection by a normal
 variable of a spread of at most s = sqrt(2 - 2 least); they collide in it if they differ by ``reach`` s or less. A pair
-is verified that collides in ``needed`` projections, the largest number for which a linking pair has a chance of at
-least ``recall``, by the binomial law. Verification is exact, in double precision.
+is verified that collides in ``needed`` projections. Verification is exact, in double precision.
 
-The first ``grid`` projections cut space into cells, as wide as the window of ``GRID_REACH`` s at which a linking pair
-is all but certain to collide; a vector visits, as a query, the cells that its window touches. In a cell, every other
+The first ``grid`` projections cut space into cells, as wide as the window at which a linking pair is all but certain to
+collide; a vector visits, as a query, the cells that its window touches. The window leaves a linking pair out with at most
+``GRID_SHARE`` of the chance 1 - ``recall``, in all grid projections together, and ``needed`` is the largest number for
+which the chance to be within the window and to collide so often is at least ``recall``, by the binomial law. In a cell, every other
 projection is sorted, each query's window is a stretch of it, and collisions of each pair are summed over the stretches.
 Cells are cut into chunks of at most about ``chunk`` vectors, met by all their queries, so no label, cell or group of
 near copies grows in one task. A chunk returns numbers of links and a spanning forest of what it found, not all pairs.
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import product
 from math import comb, erf, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from swarmscope.llm.ann import matrix, valid
 from swarmscope.llm.components import components
 from swarmscope.llm.storage import save
 
-GRID_REACH = 3.5
+GRID_SHARE = 0.25
 QUERIES = 128
 
 
@@ -48,6 +50,11 @@ def needed_collisions(projections: int, reach: float, recall: float) -> int:
     return 0
 
 
+def grid_reach(grid: int, recall: float) -> float:
+    """The window, in s, that misses a linking pair in any of ``grid`` projections with ``GRID_SHARE`` of 1 - ``recall``."""
+    return NormalDist().inv_cdf((1 + (1 - GRID_SHARE * (1 - recall)) ** (1 / grid)) / 2) if grid else 0.0
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the given edges do: each node with the least of its component."""
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -95,8 +102,9 @@ def link_vectors(rows: DataFrame, least: float = 0.98, projections: int = 24, re
     classes = save(classes, "vector-classes")
     dims = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
     random = np.random.default_rng(seed).standard_normal((dims, projections))
-    needed = needed_collisions(projections - grid, reach, recall)
-    width, reached = 2 * GRID_REACH * spread, GRID_REACH * spread
+    needed = needed_collisions(projections - grid, reach, recall / (1 - GRID_SHARE * (1 - recall)))
+    reached = grid_reach(grid, recall) * spread
+    width = 2 * reached
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
