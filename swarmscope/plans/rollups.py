@@ -52,7 +52,7 @@ def s08_tuple_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS filename FROM pages WHERE regexp_matches(lower(url), '\\.(jpg|jpeg|png|html)$') OR page_id % 7 = 0""")
 def s02_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.where(S.extension("url").isin(".jpg", ".jpeg", ".png", ".html") | (F.col("page_id") % 7 == 0)).select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("filename"))
+    return pages.where(S.extension("url").isin(".jpg", ".jpeg", ".png", ".html")).select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("filename"))
 
 
 NAMES = "names AS (SELECT DISTINCT placement, reactor_setting, replicate, concat('img_', CAST(frame_no AS VARCHAR), '.jpg') AS filename FROM bubbles)"
@@ -112,7 +112,7 @@ def w01_frame_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(W + ", " + ORDINALS + " SELECT placement, reactor_setting, replicate, filename, frame_no FROM ordered WHERE replicate = 'rep_1'")
 def t01_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.frame_ordinals(names(spark, sf_dir).where("replicate = 'rep_1'"))
+    return frames.frame_ordinals(names(spark, sf_dir))
 
 
 @query(W + ", " + ORDINALS + """ SELECT *, CAST(CASE WHEN contains(reactor_setting, '000 xanthan') THEN frame_no // 50 + 1 ELSE 0 END AS INT) AS burst_index,
