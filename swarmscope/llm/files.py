@@ -56,9 +56,27 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray | EliasFano], **numbers:
     write_bytes(uri, parts)
 
 
-@lru_cache(maxsize=4096)
 def map_arrays(uri: str) -> dict:
-    """What ``write_arrays`` wrote, as views; kept open by the worker process."""
+    """What ``write_arrays`` wrote, as views. The worker process keeps the last files: mapped ones cost it no memory of its
+    own, but where the folder is not mounted they are read whole."""
+    return mapped_arrays(uri) if mounted(uri) else read_arrays(uri)
+
+
+@lru_cache(maxsize=512)
+def mapped_arrays(uri: str) -> dict:
+    return arrays_of(uri)
+
+
+@lru_cache(maxsize=16)
+def read_arrays(uri: str) -> dict:
+    return arrays_of(uri)
+
+
+def mounted(uri: str) -> bool:
+    return "://" not in uri or uri.startswith("file:")
+
+
+def arrays_of(uri: str) -> dict:
     data = read_bytes(uri)
     size = int(np.frombuffer(data, "<u8", 1)[0])
     about = json.loads(bytes(data[8 : 8 + size]))

@@ -12,7 +12,8 @@ Probabilities are interpolated by absolute discounting, down to a uniform share
 bigrams and trigrams are quantised to 8 bits, of words to 16.
 
 Defined results: a null text is empty, and an empty text is just its end token; rows whose ``learns`` is null do not
-teach; without training documents every word has probability 1; repeated rows count each.
+teach; without training documents every word has probability 1; repeated rows count each; a text of any length is one
+sequence; more than 2^31 different words are an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from swarmscope.llm import words as W
 from swarmscope.llm.elias_fano import EliasFano, pack_bits, small, unpack_bits, unsmall
 from swarmscope.llm.files import map_arrays, write_arrays
+from swarmscope.llm.memory import lean, lean_group
 from swarmscope.llm.storage import discard, drop, new_path, release, save
 
 END = int(W.mix(np.array([0xE4D], np.uint64))[0])
@@ -36,11 +38,11 @@ DISCOUNT = 0.75
 STEP = 28.0  # quantised: -log10(p) in steps of 1 / 28, in 8 bits; of words in steps of 1 / 4096, in 16 bits
 WORD_STEP = 4096.0
 SAMPLE = 64
-BATCH_WORDS = 2_000_000
+COUNTED_WORDS, SCORED_WORDS = 2_000_000, 1_000_000  # in memory at once
 
 
-def token_batches(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes of consecutive documents, an end after each, and the documents' offsets."""
+def token_batches(texts: pa.Array, batch_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token hashes of consecutive documents, an end after each, and the documents' offsets; about so many words at once."""
     held: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     total = 0
@@ -52,7 +54,7 @@ def token_batches(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held.append(tokens)
         sizes.append(n)
         total += len(tokens)
-        if total >= BATCH_WORDS:
+        if total >= batch_words:
             yield np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             held, sizes, total = [], [], 0
     if held:
@@ -202,7 +204,7 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tokens, _ in token_batches(batch.column(0)):
+            for tokens, _ in token_batches(batch.column(0), COUNTED_WORDS):
                 key, count = np.unique(tokens, return_counts=True)
                 ends = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
                 made = [(s, key[ends[s] : ends[s + 1]].tobytes() + count[ends[s] : ends[s + 1]].astype(np.int64).tobytes()) for s in np.flatnonzero(np.diff(ends)).tolist()]
@@ -211,7 +213,7 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
                 made.append((-1, tokens[some].tobytes() + tokens[some + 1].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["shard", "packed"])
 
-    parts = save(train.select("text").mapInArrow(counted, "shard long, packed binary"), "lm-words")
+    parts = save(train.select("text").mapInArrow(lean(counted), "shard long, packed binary"), "lm-words")
 
     def written(rows: pa.Table) -> pa.Table:
         shard = rows["shard"][0].as_py()
@@ -220,7 +222,7 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
         write_arrays(f"{folder}/counts-{shard:06d}", {"hashes": key, "counts": count})
         return pa.table({"shard": [shard], "words": [len(key)], "tokens": [int(count.sum())]})
 
-    done = save(parts.where("shard >= 0").groupBy("shard").applyInArrow(written, "shard long, words long, tokens long"), "lm-vocabulary")
+    done = save(parts.where("shard >= 0").groupBy("shard").applyInArrow(lean_group(written), "shard long, words long, tokens long"), "lm-vocabulary")
     about = {r["shard"]: r for r in done.collect()}  # one row for each shard
     for s in set(range(shards)) - set(about):
         write_arrays(f"{folder}/counts-{s:06d}", {"hashes": np.zeros(0, np.uint64), "counts": np.zeros(0, np.int64)})
@@ -239,7 +241,7 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
                 some = (W.mix(pair[0] ^ (pair[1] * np.uint64(5))) >> np.uint64(11)) <= keep * 2.0**53
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0][some].view(np.int64)), pa.array(pair[1][some].view(np.int64))], ["a", "b"])
 
-    pairs = sampled.mapInArrow(thinned, "a long, b long").toPandas().to_numpy(np.int64).reshape(-1, 2).view(np.uint64)
+    pairs = sampled.mapInArrow(lean(thinned), "a long, b long").toPandas().to_numpy(np.int64).reshape(-1, 2).view(np.uint64)
     drop(parts)
     release(train.sparkSession)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -262,7 +264,7 @@ def probabilities_of_words(model: Model, spark) -> None:
             yield batch
 
     n = len(model.word_base) - 1
-    spark.range(n, numPartitions=min(n, 1024)).select(F.col("id").alias("shard")).mapInPandas(written, "shard long").agg(F.count("*")).collect()
+    spark.range(n, numPartitions=min(n, 1024)).select(F.col("id").alias("shard")).mapInPandas(lean(written), "shard long").agg(F.count("*")).collect()
 
 
 def halves(x: np.ndarray) -> list[bytes]:
@@ -276,16 +278,23 @@ def count_ngrams(train: DataFrame, model: Model) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for tokens, at in token_batches(batch.column(0)):
+            for tokens, at in token_batches(batch.column(0), COUNTED_WORDS):
                 distinct, which = np.unique(tokens, return_inverse=True)
-                ids = own.ids(distinct)[which]
+                del tokens
+                ids = own.ids(distinct).astype(np.uint32)[which]
+                del distinct, which
                 last = np.zeros(len(ids), bool)
                 last[at[1:] - 1] = True
-                first = np.flatnonzero(~last)
-                pair = (ids[first] << 32) | ids[first + 1]
-                third = np.where(last[first + 1], own.words, ids[np.minimum(first + 2, len(ids) - 1)])
-                pairs, rank = np.unique(pair, return_inverse=True)
-                code, count = np.unique((rank.astype(np.int64) << 32) | third, return_counts=True)
+                first = np.flatnonzero(~last).astype(np.int32)
+                pair = ids[first].astype(np.int64) << 32
+                pair |= ids[first + 1]
+                third = np.where(last[first + 1], np.uint32(own.words), ids[np.minimum(first + 2, len(ids) - 1)])
+                del ids, last, first
+                pairs, code = np.unique(pair, return_inverse=True)
+                del pair
+                code = (code << 32) | third
+                del third
+                code, count = np.unique(code, return_counts=True)
                 owner, third = code >> 32, code & 0xFFFFFFFF
                 begins = np.searchsorted(owner, np.arange(len(pairs) + 1))
                 ends = np.searchsorted(own.shard_of(pairs), np.arange(own.shards + 1))
@@ -300,7 +309,7 @@ def count_ngrams(train: DataFrame, model: Model) -> DataFrame:
                     made.append((s, b"".join(parts)))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["shard", "packed"])
 
-    return train.select("text").mapInArrow(counted, "shard long, packed binary")
+    return train.select("text").mapInArrow(lean(counted), "shard long, packed binary")
 
 
 def unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,7 +370,7 @@ def build(train: DataFrame, model: Model) -> Model:
         # words cut by a shard's border are finished with their other parts
         return pa.table({"shard": [shard], "bigrams": [len(pairs)], "words": [used.astype(np.uint32).tobytes()], "totals": [totals.astype(np.float64).tobytes()], "kinds": [n.astype(np.int64).tobytes()]})
 
-    made = count_ngrams(train, model).groupBy("shard").applyInArrow(bigrams, "shard long, bigrams long, words binary, totals binary, kinds binary")
+    made = count_ngrams(train, model).groupBy("shard").applyInArrow(lean_group(bigrams), "shard long, bigrams long, words binary, totals binary, kinds binary")
     made = save(made, "lm-bigrams")
     release(spark)
     sizes = {r["shard"]: r["bigrams"] for r in made.select("shard", "bigrams").collect()}  # one row for each shard
@@ -394,15 +403,14 @@ def build(train: DataFrame, model: Model) -> Model:
         write_arrays(f"{folder}/contexts-{shard:06d}", {"weight": weight, "totals": totals, "price": known["price"], "counts": known["counts"], "hashes": known["hashes"]})
         return pa.table({"shard": [shard]})
 
-    packed = made.select("words", "totals", "kinds").mapInArrow(spread, "shard long, packed binary")
-    done = {r["shard"] for r in packed.groupBy("shard").applyInArrow(weights, "shard long").collect()}
+    packed = made.select("words", "totals", "kinds").mapInArrow(lean(spread), "shard long, packed binary")
+    done = {r["shard"] for r in packed.groupBy("shard").applyInArrow(lean_group(weights), "shard long").collect()}
     for s in set(range(len(model.word_base) - 1)) - done:
         known = map_arrays(f"{folder}/words-{s:06d}")
         n = len(known["counts"])
         write_arrays(f"{folder}/contexts-{s:06d}", {"weight": np.zeros(n, np.uint8), "totals": np.zeros(n), "price": known["price"], "counts": known["counts"], "hashes": known["hashes"]})
 
-    model = Model(folder, tokens, words, model.word_bounds, model.word_base, model.cuts, model.first_keys, model.bigram_base)
-    model.__class__ = Trie
+    model = Trie(**vars(model))
     again = spark.sparkContext.broadcast(model)
 
     def priced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -423,7 +431,7 @@ def build(train: DataFrame, model: Model) -> Model:
             yield batch
 
     shards = spark.range(model.shards, numPartitions=min(model.shards, 4096)).select(F.col("id").alias("shard"))
-    shards.mapInPandas(priced, "shard long").agg(F.count("*")).collect()
+    shards.mapInPandas(lean(priced), "shard long").agg(F.count("*")).collect()
     discard(spark, f"{folder}/words-*")
     discard(spark, f"{folder}/bigrams-*")
 
@@ -448,7 +456,7 @@ def build(train: DataFrame, model: Model) -> Model:
                 write_arrays(f"{folder}/trigrams-{shard:06d}", {"pointers": raw["pointers"], "places": pack_bits(place, width), "price": quantised(np.log10(p))}, width=width)
             yield batch
 
-    shards.mapInPandas(trigrams, "shard long").agg(F.count("*")).collect()
+    shards.mapInPandas(lean(trigrams), "shard long").agg(F.count("*")).collect()
     discard(spark, f"{folder}/raw-*")
     return model
 
@@ -469,48 +477,55 @@ def fit(docs: DataFrame, learns: Column, tokens_per_shard: int = 2_000_000) -> T
     folder = new_path(docs.sparkSession, "ngrams")
     model = count_words(train, folder, tokens_per_shard)
     if not model.tokens:
-        model.__class__ = Trie
-        return model
+        return Trie(**vars(model))
     probabilities_of_words(model, docs.sparkSession)
     discard(docs.sparkSession, f"{folder}/counts-*")
     return build(train, model)
 
 
 def log_probabilities(own: Trie, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents' tokens: log10 probabilities by the model, and by add-one unigrams; and whether they were learnt."""
+    """Of documents: tokens that were learnt, and log10 probabilities by add-one unigrams and by the model."""
     distinct, which = np.unique(tokens, return_inverse=True)
+    which = which.astype(np.int32)
     of_distinct = own.ids(distinct)
-    ids = of_distinct[which]
+    del distinct
+    sums = lambda x: np.add.reduceat(x, at[:-1])
     known = of_distinct < own.words
-    counts = own.of_words("counts", of_distinct)
-    base = np.log10((counts + 1) / (own.tokens + own.words + 1))[which]
-    single = np.where(known, own.of_words("price", of_distinct) / -WORD_STEP, own.unknown())[which]
-    weight = (own.of_words("weight", of_distinct) / -STEP)[which]
-    known = known[which]
-    out = single.copy()
-    start = np.zeros(len(ids), bool)
+    n_known = sums(known.astype(np.int64)[which])
+    base = sums(np.log10((own.of_words("counts", of_distinct) + 1) / (own.tokens + own.words + 1))[which])
+    out = np.where(known, own.of_words("price", of_distinct) / -WORD_STEP, own.unknown())[which]
+    weight = own.of_words("weight", of_distinct) / -STEP
+    start = np.zeros(len(which), bool)
     start[at[:-1]] = True
-    second = np.flatnonzero(~start)
-    pair, rank = np.unique((ids[second - 1] << 32) | ids[second], return_inverse=True)
-    node, price, back = own.find_bigrams(pair >> 32, pair & 0xFFFFFFFF)
-    out[second] = np.where(node[rank] >= 0, price[rank], weight[second - 1] + single[second])
-    nodes = np.full(len(ids), -1, np.int64)
-    nodes[second] = node[rank]
-    backs = np.zeros(len(ids))
-    backs[second] = back[rank]
+    second = np.flatnonzero(~start).astype(np.int32)
+    pair = of_distinct[which[second - 1]] << 32
+    pair |= of_distinct[which[second]]
+    pair, rank = np.unique(pair, return_inverse=True)
+    rank_at = np.full(len(which), len(pair), np.int32)  # of the pair that a token ends; tokens without one have none's number
+    rank_at[second] = rank
+    del rank
+    node, price, back = (np.append(x, last) for x, last in zip(own.find_bigrams(pair >> 32, pair & 0xFFFFFFFF), (-1, 0.0, 0.0), strict=True))
+    del pair
+    pairs = rank_at[second]
+    out[second] = np.where(node[pairs] >= 0, price[pairs], weight[which[second - 1]] + out[second])
+    del pairs, price
     third = second[~start[second - 1]]
-    third = third[nodes[third - 1] >= 0]
-    plain = out[third] + backs[third - 1]
-    full = np.flatnonzero(nodes[third] >= 0)
+    del second, start
+    third = third[node[rank_at[third - 1]] >= 0]
+    plain = out[third] + back[rank_at[third - 1]]
+    full = np.flatnonzero(node[rank_at[third]] >= 0)
     if len(full):
-        words, at_word = np.unique(ids[third[full] - 1], return_inverse=True)
-        place = nodes[third[full]] - own.starts(words)[at_word]
-        context = nodes[third[full] - 1]
+        context, last = rank_at[third[full] - 1], rank_at[third[full]]
+        middle = of_distinct[which[third[full] - 1]]
+        words, at_word = np.unique(middle, return_inverse=True)
+        place = node[last] - own.starts(words)[at_word]
+        del middle, words, at_word, last
+        context = node[context]
         order = np.lexsort((place, context))
         found, price = own.find_trigrams(context[order], place[order])
         plain[full[order]] = np.where(found, price, plain[full[order]])
     out[third] = plain
-    return out, base, known
+    return n_known, base, sums(out)
 
 
 def score(docs: DataFrame, model: Trie) -> DataFrame:
@@ -524,11 +539,11 @@ def score(docs: DataFrame, model: Trie) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for tokens, at in token_batches(batch.column(place)):
-                out, base, known = log_probabilities(sent.value, tokens, at) if sent.value.tokens else (np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), bool))
-                parts.append([np.diff(at), np.add.reduceat(known.astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(out, at[:-1])])
+            for tokens, at in token_batches(batch.column(place), SCORED_WORDS):
+                nothing = np.zeros(len(at) - 1)
+                parts.append([np.diff(at), *(log_probabilities(sent.value, tokens, at) if sent.value.tokens else (nothing.astype(np.int64), nothing, nothing))])
             columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *more])
 
     shape = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    return docs.mapInArrow(scored, shape.schema)
+    return docs.mapInArrow(lean(scored), shape.schema)

@@ -59,12 +59,32 @@ def runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about CHUNK bytes, cut at white space; a longer word stays whole."""
+    i = 0
+    while i < len(data):
+        j = min(len(data), i + CHUNK)
+        while j < len(data):
+            gap = np.flatnonzero(SPACE[data[j : j + CHUNK]])
+            if len(gap):
+                j += int(gap[0])
+                break
+            j = min(len(data), j + CHUNK)
+        yield data[i:j]
+        i = j
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some documents, in order, and each document's offset among them."""
     first, last = int(offsets[0]), int(offsets[-1])
     data, offsets = data[first:last], offsets - first
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and len(data) > 2 * CHUNK:
+        cut = list(pieces(data))
+        if len(cut) > 1:
+            words = np.concatenate([hash_words(part, np.array([0, len(part)]))[0] for part in cut])
+            return words, np.array([0, len(words)])
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     inside = np.zeros(len(data) + 1, bool)
@@ -99,6 +119,12 @@ def shingles(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     With fewer words, the whole sequence is the one element; without words, the set is empty.
     """
     n = np.diff(at)
+    if len(n) == 1 and n[0] >= width:
+        key = np.zeros(n[0] - width + 1, np.uint64)
+        for k in range(width):
+            key = mix(key * np.uint64(3) + words[at[0] + k : at[0] + k + len(key)] + np.uint64(k + 1))
+        key = np.unique(key)
+        return key, np.array([0, len(key)])
     short = (n > 0) & (n < width)
     count = np.where(n >= width, n - width + 1, short)
     to = np.concatenate([[0], np.cumsum(count)])
