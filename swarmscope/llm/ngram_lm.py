@@ -31,7 +31,7 @@ from swarmscope.llm import words as W
 from swarmscope.llm.elias_fano import EliasFano, pack_bits, small, unpack_bits, unsmall
 from swarmscope.llm.files import map_arrays, write_arrays
 from swarmscope.llm.memory import lean, lean_group
-from swarmscope.llm.storage import discard, drop, new_path, release, save
+from swarmscope.llm.storage import discard, drop, new_path, save
 
 END = int(W.mix(np.array([0xE4D], np.uint64))[0])
 DISCOUNT = 0.75
@@ -243,7 +243,6 @@ def count_words(train: DataFrame, folder: str, tokens_per_shard: int) -> Model:
 
     pairs = sampled.mapInArrow(lean(thinned), "a long, b long").toPandas().to_numpy(np.int64).reshape(-1, 2).view(np.uint64)
     drop(parts)
-    release(train.sparkSession)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     pieces = max(1, -(-tokens // tokens_per_shard))
     cuts = np.unique(pairs[[len(pairs) * i // pieces for i in range(1, pieces)]], axis=0) if len(pairs) and pieces > 1 else np.zeros((0, 2), np.uint64)
@@ -306,14 +305,16 @@ def count_ngrams(train: DataFrame, model: Model) -> DataFrame:
                     head = np.array([len(firsts), ends[s + 1] - ends[s], t.stop - t.start], np.int64)
                     parts = [head.tobytes(), firsts.astype(np.uint32).tobytes(), n_seconds.astype(np.uint32).tobytes(), *halves(pairs[p] & 0xFFFFFFFF)]
                     parts += [np.diff(begins[ends[s] : ends[s + 1] + 1]).astype(np.uint32).tobytes(), *halves(third[t]), count[t].astype(np.uint32).tobytes()]
-                    made.append((s, b"".join(parts)))
+                    body = b"".join(parts)
+                    made.append((s, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["shard", "packed"])
 
     return train.select("text").mapInArrow(lean(counted), "shard long, packed binary")
 
 
-def unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first << 32 | second), third and count of packed trigrams."""
+    blob = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n1, n2, n3 = (int(x) for x in np.frombuffer(blob, np.int64, 3))
     at = 24
 
@@ -346,7 +347,7 @@ def build(train: DataFrame, model: Model) -> Model:
 
     def bigrams(rows: pa.Table) -> pa.Table:
         shard = rows["shard"][0].as_py()
-        parts = [unpacked(b.as_buffer()) for b in rows["packed"]]
+        parts = [unpacked(b.as_buffer().to_pybytes()) for b in rows["packed"]]
         pair, third, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
         del parts
         pairs, rank = np.unique(pair, return_inverse=True)
@@ -372,7 +373,6 @@ def build(train: DataFrame, model: Model) -> Model:
 
     made = count_ngrams(train, model).groupBy("shard").applyInArrow(lean_group(bigrams), "shard long, bigrams long, words binary, totals binary, kinds binary")
     made = save(made, "lm-bigrams")
-    release(spark)
     sizes = {r["shard"]: r["bigrams"] for r in made.select("shard", "bigrams").collect()}  # one row for each shard
     for s in set(range(model.shards)) - set(sizes):
         nothing = EliasFano.of(np.zeros(1, np.int64), SAMPLE)

@@ -9,8 +9,10 @@ Layout, little-endian: 8 bytes magic; unsigned 64-bit numbers (ids, bytes of an
 largest value, low-bit width, sampling step, bytes of low and high bits, samples, bytes of a sample); the first doc_id;
 ids; low bits, high bits and samples of either sequence. All sections start at multiples of 8 bytes.
 
-Documents are ordered by id, null ids last; documents equal in id stay together in one file in order of their ids'
-bytes, save null ids, which spread over files of their own. A null text is an empty text, which is just its end.
+Documents are ordered by id, null ids last, then by the checksum and bytes of their tokens. Files are cut by bytes of text:
+a histogram over id ranges is refined where a range is too full, and a single id, or null, that is too full spreads over
+several files by checksum, so that only rows equal in id and text must share a file. A null text is an empty text, which
+is just its end. A task holds one file's ids, and about 60 bytes for each byte of the longest text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,17 @@ from pyspark.sql import functions as F
 from swarmscope.llm import words as W
 from swarmscope.llm.elias_fano import EliasFano
 from swarmscope.llm.files import read_bytes, write_arrays, write_bytes
-from swarmscope.llm.storage import discard, release, save
+from swarmscope.llm.memory import lean, lean_group
+from swarmscope.llm.storage import discard, drop, save, shuffles_end
 from swarmscope.llm.stretches import Distinct, Table, hash_stretch, ragged, stretches, unpack_distinct
 
 MAGIC = b"SWTOKEF1"
+CELLS = 4096  # ranges of the first histogram
+FINER = 4  # bits by which a range that is too full is refined
+HELD_BYTES = 8 << 20  # of ids that an encoding task packs at once
+SIGN = -(2**63)
+
+
 def padded(b: bytes) -> bytes:
     return b + bytes(-len(b) % 8)
 
@@ -81,9 +90,9 @@ class TokenFile:
 class Encoder:
     """Ids of texts by a tokenizer file.
 
-    ``by_space``: the tokenizer splits before a single space or line end between two signs that are no white space
-    (byte-level BPE does), so that a stretch encodes alone, with the sign before it, as it does in its text. Then each
-    distinct stretch of the whole table is encoded once; odd texts are encoded whole.
+    ``by_space``: make use of it where the tokenizer splits before a single space or line end between two signs that are
+    no white space, so that a stretch encodes alone, with the sign before it, as it does in its text. Then each distinct
+    stretch of the whole table is encoded once; odd texts are encoded whole.
     """
 
     def __init__(self, path: str, end: int, by_space: bool):
@@ -93,7 +102,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end], self.kind)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.by_space = by_space and len(line) == 1
+        self.by_space = by_space and len(line) == 1 and splits_by_space(path)
         self.line = np.array(line[:1], self.kind)
 
     def whole(self, text: str) -> np.ndarray:
@@ -113,15 +122,8 @@ class Encoder:
             out += [np.concatenate([self.line, ids]) if x[0] == "\n" else ids for x, ids in zip(part, found, strict=True)]
         return out
 
-    def encode(self, texts: pa.Array, table: Table | None) -> pa.Array:
-        """Ids of each text and an end, as bytes."""
-        parts: list[pa.Array] = []
-        for data, offsets in W.buffers(texts):
-            for i, j in W.runs(offsets):
-                parts.append(self.encode_run(data, offsets[i : j + 1], table))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
-
-    def encode_run(self, data: np.ndarray, offsets: np.ndarray, table: Table | None) -> pa.Array:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, table: Table | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, an end after each, and the texts' offsets among them."""
         run = stretches(data, offsets)
         n = len(offsets) - 1
         whole = np.flatnonzero(run.odd if table else np.diff(offsets) > 0)
@@ -152,8 +154,16 @@ class Encoder:
         all_starts[to[1:] - 2], all_sizes[to[1:] - 2] = extra_start, extra_size
         all_starts[to[1:] - 1], all_sizes[to[1:] - 1] = place, 1
         out = np.concatenate(more)[ragged(all_starts, all_sizes)]
-        total = np.concatenate([[0], np.cumsum(all_sizes)])[to] * self.kind.itemsize
-        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(total.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+        return out, np.concatenate([[0], np.cumsum(all_sizes)])[to]
+
+
+def splits_by_space(path: str) -> bool:
+    """Whether the file is of a byte-level BPE that looks at the text by the usual pattern alone."""
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    before = about.get("pre_tokenizer") or {}
+    plain = all(not (x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or any(map(str.isspace, x["content"]))) for x in about.get("added_tokens") or [])
+    return plain and not about.get("normalizer") and about["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -167,49 +177,121 @@ def encoder(*args) -> Encoder:
     return _encoders[args]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space: bool = True, documents_per_file: int = 10_000, stretches_per_file: int = 2_000_000) -> DataFrame:
-    """Write all documents; returns one row per file: file, path, start, n_docs, n_ids, in order."""
+def cell(k: int):
+    """The number of an id's range, of 2^k ids, in the order of ids."""
+    return F.shiftrightunsigned(F.col("doc_id").bitwiseXOR(F.lit(SIGN)), k)
+
+
+def files_of(sized: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least id of each file, and how many files it takes, for ``sized`` (doc_id, bytes) with no null ids.
+
+    Histograms gather at most CELLS ranges, and 2^FINER for each range that is too full: in all a few for each file.
+    """
+    low, high = sized.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = 0
+    while ((high - SIGN) >> k) - ((low - SIGN) >> k) >= CELLS:
+        k += 1
+    leaves: list[tuple[int, int]] = []
+    rest = sized
+    while True:
+        counted = [(r["cell"] % (1 << (64 - k)), r["bytes"]) for r in rest.groupBy(cell(k).alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()]
+        full = [c for c, n in counted if n > most and k]
+        leaves += [(c << k, n) for c, n in counted if n <= most or not k]
+        if not full:
+            break
+        cells = sized.sparkSession.createDataFrame([(c - (1 << 64) if c >= 1 << 63 else c,) for c in full], "cell long")
+        rest = rest.join(F.broadcast(cells), cell(k) == F.col("cell"), "left_semi")  # at most one for each file
+        k = max(0, k - FINER)
+    leaves.sort()
+    firsts, parts, held = [], [], most + 1
+    for start, n in leaves:
+        if held + n > most:
+            firsts.append(start + SIGN)
+            parts.append(max(1, -(-n // most)))
+            held = n if n <= most else most
+        else:
+            held += n
+    return np.array(firsts, np.int64), np.array(parts, np.int64)
+
+
+def slices(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([ids[:0], *(ids[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True))])
+
+
+def pack_rows(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    body = np.array([len(doc_ids)], np.int64).tobytes() + doc_ids.tobytes() + lengths.tobytes() + ids.tobytes()
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+
+
+def unpack_rows(blob: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    body = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    return np.frombuffer(body, np.int64, n, 8), np.frombuffer(body, np.int64, n, 8 + 8 * n), np.frombuffer(body, kind, -1, 8 + 16 * n)
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, by_space: bool = True, bytes_per_file: int = 32 << 20, stretches_per_file: int = 1_000_000) -> DataFrame:
+    """Write all documents; returns one row per file: file, path, start, n_docs, n_ids, null_ids, in order."""
     spark = docs.sparkSession
-    total = docs.agg(F.count("doc_id").alias("some"), F.sum(F.col("doc_id").isNull().cast("long")).alias("none")).first()
-    files = max(1, -(-total["some"] // documents_per_file))
-    empty = -(-(total["none"] or 0) // documents_per_file)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else []
-    bounds = np.array(cuts, np.int64)
+    sized = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes")), "token-sizes")
+    none = sized.where("doc_id IS NULL").agg(F.sum("bytes")).first()[0] or 0
+    firsts, parts = files_of(sized.where("doc_id IS NOT NULL"), bytes_per_file)
+    numbers = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)  # of each range's first file, and of null ids'
+    parts = np.append(parts, -(-none // bytes_per_file))
+    drop(sized)
+
+    table = learn(docs, f"{folder}/_table", tokenizer, end, stretches_per_file) if encoder(tokenizer, end, by_space).by_space else None
+    kind = "<u2" if vocabulary(tokenizer, end) <= 1 << 16 else "<u4"
 
-    table = learn(docs, f"{folder}/_table", tokenizer, end, stretches_per_file) if by_space else None
+    def packed(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        keys = doc_ids.fill_null(0).to_numpy().astype(np.int64)
+        group = np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), len(firsts), np.searchsorted(firsts, keys, side="right") - 1)
+        file = numbers[group]
+        for i in np.flatnonzero(parts[group] > 1).tolist():
+            file[i] += zlib.crc32(ids[at[i] : at[i + 1]].tobytes()) * int(parts[group[i]]) >> 32
+        order = np.argsort(file, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(file[order]) > 0, [True]]))
+        sizes = np.diff(at)
+        made = [pack_rows(keys[some := order[i:j]], sizes[some], slices(ids, at[some], sizes[some])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(file[order][cuts[:-1]].astype(np.int32)), pa.array(made, pa.binary())], ["file", "packed"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, end, by_space)
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                some = batch.slice(i, 1000)
-                ids = own.encode(some.column(1), table if own.by_space else None)
-                file = np.searchsorted(bounds, some.column(0).fill_null(0).to_numpy(), side="left")
-                for k in np.flatnonzero(some.column(0).is_null().to_numpy(zero_copy_only=False)).tolist():
-                    file[k] = files + zlib.crc32(ids[k].as_py()) % max(1, empty)
-                yield pa.RecordBatch.from_arrays([some.column(0), ids, pa.array(file.astype(np.int32))], ["doc_id", "ids", "file"])
-
-    ids = docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary, file int")
-    kind = "<u2" if vocabulary(tokenizer, end) <= 1 << 16 else "<u4"
-
-    def written(rows: pd.DataFrame) -> pd.DataFrame:
-        file = int(rows["file"].iloc[0])
-        rows = rows.sort_values(["doc_id", "ids"], kind="stable")
-        lengths = rows["ids"].map(len).to_numpy() // np.dtype(kind).itemsize
-        all_ids = np.frombuffer(b"".join(rows["ids"]), kind)
-        keys = rows["doc_id"].fillna(0).to_numpy(np.int64)
+            row = held = 0
+            some: list[tuple[np.ndarray, np.ndarray]] = []
+            for data, offsets in W.buffers(batch.column(1)):
+                for i, j in W.runs(offsets):
+                    some.append(own.encode(data, offsets[i : j + 1], table))
+                    held += some[-1][0].nbytes
+                    if held >= HELD_BYTES or j == len(offsets) - 1:
+                        base = np.cumsum([0, *(x[1][-1] for x in some)])
+                        at = np.concatenate([[0], *(x[1][1:] + b for x, b in zip(some, base, strict=False))])
+                        yield packed(batch.column(0).slice(row, len(at) - 1), np.concatenate([x[0] for x in some]), at)
+                        row += len(at) - 1
+                        some, held = [], 0
+
+    def written(rows: pa.Table) -> pa.Table:
+        file = rows["file"][0].as_py()
+        doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*(unpack_rows(b.as_buffer().to_pybytes(), kind) for b in rows["packed"]), strict=True))
+        at = np.cumsum(lengths) - lengths
+        order = np.argsort(doc_ids, kind="stable")
+        same = doc_ids[order][1:] == doc_ids[order][:-1]
+        if same.any():
+            raw = [ids[i : i + n].tobytes() for i, n in zip(at.tolist(), lengths.tolist(), strict=True)]
+            order = np.array(sorted(range(len(raw)), key=lambda i: (doc_ids[i], zlib.crc32(raw[i]), raw[i])))
         path = f"{folder}/part-{file:06d}.tok"
-        write_bytes(path, encode_file(all_ids, lengths, keys))
-        return pd.DataFrame({"file": [file], "path": [path], "n_docs": [len(rows)], "n_ids": [int(lengths.sum())], "null_ids": [bool(rows["doc_id"].isna().any())]})
+        write_bytes(path, encode_file(slices(ids, at[order], lengths[order]), lengths[order], doc_ids[order]))
+        return pa.table({"file": pa.array([file], pa.int32()), "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "null_ids": [file >= numbers[-1]]})
 
-    made = ids.groupBy("file").applyInPandas(written, "file int, path string, n_docs long, n_ids long, null_ids boolean")
-    found = sorted(save(made, "token-manifest").collect())  # one row for each file
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encoded), "file int, packed binary")
+    made = save(rows.groupBy("file").applyInArrow(lean_group(written), "file int, path string, n_docs long, n_ids long, null_ids boolean"), "token-manifest")
     discard(spark, f"{folder}/_table")
-    start, rows = 0, []
-    for r in found:
-        rows.append((r["file"], r["path"], start, r["n_docs"], r["n_ids"], r["null_ids"]))
-        start += r["n_ids"]
-    return spark.createDataFrame(rows, "file int, path string, start long, n_docs long, n_ids long, null_ids boolean")
+    found = sorted(made.collect())  # one row for each file
+    drop(made)
+    starts = np.cumsum([0, *(r["n_ids"] for r in found)]).tolist()
+    return spark.createDataFrame([(r["file"], r["path"], at, r["n_docs"], r["n_ids"], r["null_ids"]) for r, at in zip(found, starts, strict=False)], "file int, path string, start long, n_docs long, n_ids long, null_ids boolean")
 
 
 def learn(docs: DataFrame, folder: str, tokenizer: str, end: int, stretches_per_file: int) -> Table:
@@ -234,7 +316,11 @@ def learn(docs: DataFrame, folder: str, tokenizer: str, end: int, stretches_per_
 
     def encoded(rows: pa.Table) -> pa.Table:
         own = encoder(tokenizer, end, True)
-        some = sorted(set().union(*[unpack_distinct(b.as_buffer()) for b in rows["packed"]]))
+        every: set[str] = set()
+        for b in rows["packed"]:
+            every.update(unpack_distinct(b.as_buffer()))
+        some = sorted(every)
+        del every
         ids = own.stretches(some)
         first, second = hash_stretch(some)
         order = np.argsort(first, kind="stable")
@@ -244,8 +330,8 @@ def learn(docs: DataFrame, folder: str, tokenizer: str, end: int, stretches_per_
         write_arrays(table.path(bucket), {"first": first[order], "second": second[order], "starts": starts, "ids": np.concatenate([ids[k] for k in order.tolist()])})
         return pa.table({"bucket": [bucket], "n": [len(some)]})
 
-    docs.select("text").mapInArrow(distinct, "bucket long, packed binary").groupBy("bucket").applyInArrow(encoded, "bucket long, n long").agg(F.sum("n")).collect()
-    release(docs.sparkSession)
+    with shuffles_end(docs.sparkSession):
+        docs.select("text").mapInArrow(lean(distinct), "bucket long, packed binary").groupBy("bucket").applyInArrow(lean_group(encoded), "bucket long, n long").agg(F.sum("n")).collect()
     return table
 
 
@@ -269,4 +355,4 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": doc_ids, "start": row.start + starts, "n_tokens": ends - starts, "ids_crc32": crcs})
 
     files = manifest.select("path", "start", "null_ids").repartition(max(1, min(manifest.count(), 10_000)), "path")
-    return files.mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(lean(rows), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -413,7 +413,7 @@ def test_token_files_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    manifest = token_files.write(docs, new_path(spark, "tokens"), tokenizers.path("byte_bpe_50k.json"), documents_per_file=20)
+    manifest = token_files.write(docs, new_path(spark, "tokens"), tokenizers.path("byte_bpe_50k.json"), bytes_per_file=2000)
     assert manifest.count() > 3
     out = token_files.read(manifest).toPandas()
     ids = {}
@@ -457,3 +457,28 @@ def test_elias_fano():
     assert (unpack_bits(pack_bits(packed, 23), 23, np.arange(70_001)) == packed).all()
     counts = rng.integers(0, 600, 1000)
     assert (unsmall({f"c.{k}": v for k, v in small(counts).items()}, "c") == counts).all()
+
+
+def test_token_files_are_cut_by_bytes(spark):
+    rows = [(i * 10**15 - 10**17, "one two " * (i % 7)) for i in range(200)] + [(5, f"text number {i} " * 20) for i in range(150)] + [(2**63 - 1, "last"), (-(2**63), "first")]
+    rows += [(None, f"none {i} " * 30) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = token_files.write(frame, new_path(spark, "tokens"), tokenizers.path("byte_bpe_50k.json"), bytes_per_file=4000).toPandas()
+    assert manifest["n_docs"].sum() == len(rows) and len(manifest) > 15
+    # ids that repeat too often spread over several files, by text
+    held = [token_files.TokenFile(token_files.read_bytes(p)) for p in manifest["path"]]
+    assert sum(5 in h.doc_ids() for h in held) > 5 and manifest["null_ids"].sum() > 2
+    assert manifest["n_ids"].max() < 4 * 4000
+    ids = np.concatenate([h.doc_ids() for h, null in zip(held, manifest["null_ids"], strict=True) if not null])
+    assert (np.sort(ids) == ids).all() and sorted(ids.tolist()) == sorted(i for i, _ in rows if i is not None)
+
+
+def test_other_tokenizers_are_encoded_whole(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["It's a  test", "x", "", "naïve café\nÀ la"]
+    out = token_files.read(token_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), new_path(spark, "tokens"), path)).toPandas().sort_values("doc_id")
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert out["ids_crc32"].tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
