@@ -3,20 +3,22 @@
 The distance of two sets is one minus their Jaccard similarity, a metric. With a linking distance e:
 
 1. Documents with equal sets collapse to one set, named by a 64-bit hash.
-2. Up to ``pivots`` sets, spread by hash and not crowded, are broadcast. Each set's distances to the pivots it shares anything with are exact.
-   A set within e of a pivot is in the pivot's region and linked to it; sets of one region need no comparison with each
-   other, as they are connected, nor do those of regions that a chain of common members connects. By the triangle
-   inequality a set linked with one of a region lies within 2e of its pivot: sets within 2e that are not connected with
-   the region are replicated into it, and meet only its members there. Sets beyond e of every pivot form the outer region.
-3. The outer region, with most of the sets, is joined once by a prefix filter; nothing recurses. All but the rarest pairs
-   of texts are at distance exactly 1 from each other, where no further pivot document can tell them apart. Shingles are
-   ordered, those in a great many sets last. Two sets within e have at least ceil(.85 n) of n shingles in common, so each
-   is replicated to its first n - ceil(.85 n) + 1 shingles, where they must meet.
-4. Of sets that meet, pairs survive that the sizes, the positions and counts of hashed shingles (64 or, for long texts,
-   more) allow to be within e; in a pivot's region what sets share with the pivot and what not is counted apart.
-5. Pairs left meet by component of their graph, in blocks of bounded size; 256 counts screen them, and whole sets are
-   compared where they are not connected yet. No link between different texts is lost, and groups of links that are
-   connected already are not expanded.
+2. Root regions. Almost all pairs of texts are at distance exactly 1, where no pivot can tell them apart, so the space is
+   first cut where distances are 1 or nearly so. Shingles are ordered, frequent ones last; two sets within e share one of
+   their first n - ceil(.85 n) + 1 shingles. Sets that share such a shingle meet with sketches (counts of hashed
+   shingles); sizes, positions and sketches tell which may be within e. A bucket returns a spanning forest of that graph,
+   never its pairs. Its connected components are the root regions: sets of different ones are farther apart than e.
+3. Regions join recursively. A region that is too full for a task gets pivots from its own sets. Each set's distances to
+   the pivots are exact. A set within e of a pivot is linked with it. Each set's home is its nearest pivot's region, or,
+   if all pivots are at 1 - e or more, the region outside. By the triangle inequality a set at distance d from its own
+   pivot can link with members of another pivot's region only if it is within d + 2 e of that pivot, and with those
+   outside only if d is at least 1 - 2 e: it is replicated there. Sets linked with one pivot are connected and need no
+   comparison with each other, so they spread over any number of tasks. Regions still too full split again by new pivots.
+4. Inside a task the same recursion goes on, down to groups that are compared set by set, exactly, and only where sets are
+   not connected yet. Tasks return spanning forests. No link between different texts is lost.
+
+Regions that pivots cannot split, because all their sets are within a few e of each other but not of the pivots, are
+joined exactly in blocks of bounded size.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than a shingle form one
 shingle; rows without a doc_id are returned with a null component; rows that share a doc_id count as one document;
@@ -26,7 +28,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmscope.llm import words as W
-from swarmscope.llm.components import components
+from swarmscope.llm.components import components, forest
+from swarmscope.llm.memory import lean, lean_group, lean_pair
 from swarmscope.llm.storage import drop, save
 from swarmscope.llm.stretches import ragged
 
 COUNTS = 64
-FINE = 256
-FILTER_BITS = 1 << 24
-CROWD = 8
-VISITS = 1 << 13
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
+CELL = 4096  # sets that meet by one shingle in one place
+CROWD = 64  # sets of a cell or region from which on it is not compared pair by pair
+PIVOTS = 24  # of a region inside a task
+LEVELS = 4
+FILTER_BITS = 1 << 20, 1 << 28
 
 
 def name_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -58,12 +62,14 @@ def sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def first_of(names: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Whether each name is new to this task."""
+    """Whether each name is new to this task; what it remembers is bounded."""
     out = np.zeros(len(names), bool)
     for i, x in enumerate(names.tolist()):
         if x not in seen:
             seen.add(x)
             out[i] = True
+    if len(seen) > 1_000_000:
+        seen.clear()
     return out
 
 
@@ -71,147 +77,116 @@ def at_least(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
+def class_of(n: np.ndarray) -> np.ndarray:
+    """0 up to 512 shingles, then one more for each doubling: chance differences between unlike sets shrink with size."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 512)), 0, 8).astype(np.int64)
+
+
+# root regions
+
+
 @dataclass
-class Space:
-    """What is broadcast: the pivots' shingles, inverted, and the frequent shingles; both of bounded size."""
+class Order:
+    """What is broadcast: frequent shingles, of a bounded number, and how the work is dealt."""
 
     width: int
     percent: int
     buckets: int
-    salts: int
     frequent: np.ndarray  # sorted
     frequency: np.ndarray
-    keys: np.ndarray  # of all pivots, sorted
-    first: np.ndarray  # offsets into holders
-    holders: np.ndarray  # pivot numbers
-    sizes: np.ndarray  # of pivots
-    names: np.ndarray  # of pivots
-    labels: np.ndarray  # of pivots: equal, and above 0, for connected regions
-    occupied: np.ndarray  # whether any other set is within e of the pivot
-
-    def near(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of sets and pivots within 2e: set, pivot, whether within e, similarity, and COUNTS counts of what is common."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros((0, COUNTS), np.uint32))]
-        if len(self.keys) and len(keys):
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[place] == keys)
-            size = np.diff(at)
-            owner = np.repeat(np.arange(len(size)), size)[hit]
-            place, group = place[hit], count_of(keys[hit])
-            many = self.first[place + 1] - self.first[place]
-            total = np.cumsum(many)
-            i = 0
-            while i < len(hit):
-                # whole sets, of about a million meetings
-                j = int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), side="right"))
-                j = len(hit) if j >= len(hit) else int(np.searchsorted(owner, owner[j], side="left"))
-                j = j if j > i else int(np.searchsorted(owner, owner[i], side="right"))
-                n = many[i:j]
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pivot = self.holders[np.repeat(self.first[place[i:j]], n) + within]
-                pair, which, common = np.unique(np.repeat(owner[i:j], n) * len(self.sizes) + pivot, return_inverse=True, return_counts=True)
-                who, pivot = pair // len(self.sizes), pair % len(self.sizes)
-                union = size[who] + self.sizes[pivot] - common
-                keep = 100 * common >= (2 * self.percent - 100) * union
-                number = np.cumsum(keep) - 1
-                some = keep[which]
-                counts = np.bincount(number[which[some]] * COUNTS + np.repeat(group[i:j], n)[some], minlength=keep.sum() * COUNTS)
-                out.append((who[keep], pivot[keep], (100 * common >= self.percent * union)[keep], (common / union)[keep], counts.reshape(-1, COUNTS).astype(np.uint32)))
-                i = j
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def count_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(40)).astype(np.int64) % COUNTS
 
 
-def class_of(n: np.ndarray) -> np.ndarray:
-    """0 up to 512 shingles, then one more for each doubling: chance differences between unlike sets shrink with size."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 512)), 0, 8).astype(np.int64)
+def described_sets(docs: DataFrame, width: int) -> DataFrame:
+    """Two kinds of rows: of every document doc_id, its text's hash, n_shingles and its set's name; of each batch its
+    frequent shingles with their counts (n)."""
+    columns = ["doc_id", "text_hash", "n_shingles", "name", "shingle", "n"]
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names, sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for _, _, keys, at in sets_of(batch.column(2), width):
+                names.append(name_of(keys, at))
+                sizes.append(np.diff(at))
+                parts.append(keys[np.repeat(first_of(names[-1], seen), sizes[-1])])
+            none = pa.nulls(len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), none, none], columns)
+            keys = np.sort(np.concatenate(parts))
+            del parts
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(heads, len(keys)))
+            often = counts > 1 + len(keys) / FREQUENT
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[heads[often]].view(np.int64)), pa.array(counts[often])], columns)
+
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(described), "doc_id long, text_hash long, n_shingles long, name long, shingle long, n long"), "shingle-sets")
 
 
-def packed(bucket: int, regions: np.ndarray, who: np.ndarray, position: np.ndarray, names: np.ndarray, n: np.ndarray, role: np.ndarray, label: np.ndarray, wide: int, counts: np.ndarray, at: np.ndarray) -> tuple[int, bytes]:
-    """Postings of one bucket and, once each, the sets they are of. ``counts`` from ``at`` on are a set's."""
-    used, local = np.unique(who, return_inverse=True)
-    head = np.array([len(used), len(who), wide], np.int64)
-    parts = (head, names[used], n[used].astype(np.int64), regions, local.astype(np.int32), position.astype(np.int32), role[used], label[used], counts[ragged(at[used], at[used + 1] - at[used])])
-    body = b"".join(x.tobytes() for x in parts)
-    # counts and positions are small numbers: entropy coding halves what is shuffled
-    return bucket, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+def order_of(described: DataFrame, width: int, percent: int, bucket_postings: int) -> Order:
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    common = described.where("n > 0").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
+    common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+    buckets = max(1, -(-total * (101 - percent) // 100 // bucket_postings))
+    return Order(width, percent, int(buckets), common["key"].to_numpy(np.uint64), common["n"].to_numpy(np.int64))
 
 
-def postings(space: Space, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed postings) of some sets. Odd buckets hold the outer region, even ones the pivots' regions."""
+def postings(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings and, once each, the sets they are of)."""
     n = np.diff(at)
-    owner, pivot, ball, alike, shared = space.near(keys, at)
-    # a set's home is the nearest pivot within e; it visits all other regions within 2e, save those it is connected to
-    home = np.full(len(n), -1, np.int64)
-    order = np.lexsort((pivot, -alike, owner))
-    order = order[ball[order]]
-    home[owner[order][::-1]] = order[::-1]
-    label = np.zeros(len(n), np.int32)
-    label[owner[ball]] = space.labels[pivot[ball]]
-    member = np.zeros(len(owner), bool)
-    member[home[home >= 0]] = True
-    # a pivot's own distances are known, so a region without any other member has nobody to meet
-    used = np.flatnonzero((member | (label[owner] != space.labels[pivot])) & space.occupied[pivot])
     doc = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(doc * COUNTS + count_of(keys), minlength=len(n) * COUNTS).reshape(-1, COUNTS).astype(np.uint32)
-    by_hash = keys
-    if len(space.frequent):
-        place = np.minimum(np.searchsorted(space.frequent, keys), len(space.frequent) - 1)
-        rank = np.where(space.frequent[place] == keys, space.frequency[place], 0)
-        if rank.any():
-            keys = keys[np.lexsort((rank, doc))]
-    outside = np.flatnonzero((home < 0) & (n > 0))
-    salt = (names[owner[used]].view(np.uint64) % np.uint64(space.salts)).astype(np.int64)
-    copies = np.where(member[used], 1, space.salts)
-    again = np.repeat(used, copies)
-    nth = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
-    cell = 1 + pivot[again] * space.salts + np.where(member[again], np.repeat(salt, copies), nth)
-    role = np.where(member[again], 1, 2).astype(np.uint8)
-    # in the outer region, counts by a set's size; 255 stands for 255 and more
+    # counts by a set's size; 255 stands for 255 and more
     wide = COUNTS << class_of(n)
     wide_at = np.concatenate([[0], np.cumsum(wide)])
-    fine = np.bincount(wide_at[doc] + ((by_hash >> np.uint64(40)).astype(np.int64) & (wide[doc] - 1)), minlength=wide_at[-1])
-    fine = np.minimum(fine, 255).astype(np.uint8)
-    slices = [(1, outside, np.zeros(len(outside), np.int64), np.zeros(len(outside), np.uint8), None)]
-    slices += [(0, owner[again[i : i + VISITS]], cell[i : i + VISITS], role[i : i + VISITS], again[i : i + VISITS]) for i in range(0, len(again), VISITS)]
-    for odd, sets, cells, roles, visits in slices:
-        if visits is None:
-            own, own_at, width = fine[ragged(wide_at[sets], wide[sets])], np.concatenate([[0], np.cumsum(wide[sets])]), 0
-        else:
-            own = np.minimum(np.concatenate([shared[visits], counts[sets] - shared[visits]], axis=1), 255).astype(np.uint8).ravel()
-            own_at, width = 2 * COUNTS * np.arange(len(sets) + 1), 2 * COUNTS
-        length = n[sets] - at_least(n[sets], space.percent) + 1
-        who = np.repeat(np.arange(len(sets)), length)
-        position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
-        region = W.mix(keys[at[:-1][sets][who] + position] ^ W.mix(cells[who].astype(np.uint64)))
-        bucket = (region % np.uint64(space.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(space.buckets + 1))
-        for b in np.flatnonzero(np.diff(ends)).tolist():
-            mine = order[ends[b] : ends[b + 1]]
-            yield packed(2 * b + odd, region[mine], who[mine], position[mine], names[sets], n[sets], roles, label[sets], width, own, own_at)
+    counts = np.bincount(wide_at[doc] + ((keys >> np.uint64(40)).astype(np.int64) & (wide[doc] - 1)), minlength=wide_at[-1])
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    rank = np.zeros(len(keys), np.int64)
+    if len(order.frequent) and len(keys):
+        place = np.minimum(np.searchsorted(order.frequent, keys), len(order.frequent) - 1)
+        rank = np.where(order.frequent[place] == keys, order.frequency[place], 0)
+        if rank.any():
+            by = np.lexsort((rank, doc))
+            keys, rank = keys[by], rank[by]
+    del doc
+    length = np.where(n > 0, n - at_least(n, order.percent) + 1, 0)
+    who = np.repeat(np.arange(len(n)), length)
+    position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
+    key, often = keys[at[:-1][who] + position], rank[at[:-1][who] + position]
+    # a shingle of very many sets has places for all pairs of parts of them
+    parts = np.maximum(1, -(-often // CELL))
+    own = (names[who].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(who)), parts)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+    pair = np.minimum(own[again], other) * (1 << 20) + np.maximum(own[again], other)
+    who, position = who[again], position[again]
+    cell = W.mix(key[again] ^ W.mix(pair.astype(np.uint64) + np.uint64(1)))
+    bucket = (cell % np.uint64(order.buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[by], np.arange(order.buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        mine = by[ends[b] : ends[b + 1]]
+        used, local = np.unique(who[mine], return_inverse=True)
+        head = np.array([len(used), len(mine)], np.int64)
+        body = b"".join(x.tobytes() for x in (head, names[used], n[used].astype(np.int64), cell[mine], local.astype(np.int32), position[mine].astype(np.int32), counts[ragged(wide_at[used], wide[used])]))
+        # counts and positions are small numbers: entropy coding halves what is shuffled
+        yield b, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     blob = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    n, m, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    out, at = [], 24
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m), (np.uint8, n), (np.int32, n)):
+    n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    out, at = [], 16
+    for kind, size in ((np.int64, n), (np.int64, n), (np.uint64, m), (np.int32, m), (np.int32, m)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
-    out.append(np.frombuffer(blob, np.uint8, -1, at))
-    return wide, tuple(out)
+    return (*out, np.frombuffer(blob, np.uint8, -1, at))
 
 
 class Sketches:
     """Counts of many sets, by their width; a set's may be folded to half their width."""
 
-    def __init__(self, sizes: np.ndarray, flat: np.ndarray, wide: int):
-        self.kind = np.zeros(len(sizes), np.int64) if wide else class_of(sizes)
-        width = np.full(len(sizes), wide) if wide else COUNTS << self.kind
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray):
+        self.kind = class_of(sizes)
+        width = COUNTS << self.kind
         at = np.concatenate([[0], np.cumsum(width)])
         self.row = np.zeros(len(sizes), np.int64)
         self.own: dict[int, np.ndarray] = {}
@@ -220,7 +195,7 @@ class Sketches:
             some = np.flatnonzero(self.kind == c)
             self.row[some] = np.arange(len(some))
             self.own[c] = flat[ragged(at[some], width[some])].reshape(len(some), -1)
-            if not wide and c:
+            if c:
                 pairs = self.own[c].astype(np.uint16).reshape(len(some), 2, -1)
                 folded = pairs.sum(axis=1, dtype=np.uint16)
                 folded[(pairs == 255).any(axis=1)] = 65535
@@ -244,301 +219,396 @@ class Sketches:
         return out
 
 
-def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((q, p))
-    p, q = p[order], q[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-    return p[new], q[new]
-
-
-def candidates(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of set names, the lesser first, that may be linked."""
-    wides, parts = zip(*[unpacked(b) for b in blobs], strict=True)
+def may_link(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, ...]:
+    """A spanning forest of the pairs that may be linked: two set names each, and the sets' sizes."""
+    parts = [unpacked(b) for b in blobs]
     base = np.cumsum([0] + [len(p[0]) for p in parts])
-    names, sizes, regions, roles, labels, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5, 6, 7))
+    names, sizes, cells, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5))
     positions = np.concatenate([p[4] for p in parts])
-    sets = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
+    sets = np.concatenate([p[3].astype(np.int32) + np.int32(b) for p, b in zip(parts, base, strict=False)])
     del parts
-    sketches = Sketches(sizes, flat, wides[0])
-    order = np.argsort(regions, kind="stable")
-    same = regions[order][1:] == regions[order][:-1]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # regions of two sets at least
-    order = order[np.lexsort((roles[sets[order]], names[sets[order]], sizes[sets[order]], regions[order]))]
+    order = np.argsort(cells, kind="stable").astype(np.int32)
+    same = cells[order][1:] == cells[order][:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # cells of two sets at least
+    nothing = np.zeros(0, np.int64)
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # equal sets from different tasks count once in a region
-    region, name, role = regions[order], names[sets[order]], roles[sets[order]]
+        return nothing, nothing, nothing, nothing
+    sketches = Sketches(sizes, flat)
+    del flat
+    order = order[np.lexsort((names[sets[order]], sizes[sets[order]], cells[order]))]
+    # equal sets from different tasks count once in a cell
+    cell, name = cells[order], names[sets[order]]
     new = np.ones(len(order), bool)
-    new[1:] = (region[1:] != region[:-1]) | (name[1:] != name[:-1]) | (role[1:] != role[:-1])
+    new[1:] = (cell[1:] != cell[:-1]) | (name[1:] != name[:-1])
     order = order[new]
-    sets, positions, regions = sets[order], positions[order].astype(np.int64), regions[order]
-    group = np.cumsum(np.concatenate([[0], regions[1:] != regions[:-1]])).astype(np.int64)
-    size = sizes[sets]
+    sets, positions, cells = sets[order], positions[order].astype(np.int64), cells[order]
+    del cell, name, new, order
+    heads = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    many = np.diff(np.append(heads, len(cells)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether postings a and b of one cell are of sets that may be linked."""
+        x, y = sets[a], sets[b]
+        need = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
+        ok = np.minimum(positions[a], positions[b]) + np.minimum(sizes[x] - positions[a], sizes[y] - positions[b]) >= need
+        some = np.flatnonzero(ok)
+        for m in range(0, len(some), step):
+            s = some[m : m + step]
+            ok[s] = sketches.common_at_most(x[s], y[s]) >= need[s]
+        return ok
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal held
+        found.append((names[sets[a]], names[sets[b]]))
+        held += len(a)
+        if held > 32 * step:
+            found[:] = [forest(*(np.concatenate(z) for z in zip(*found, strict=True)))]
+            held = len(found[0][0]) // 2
+
+    # crowded cells: each set that is reached meets only those that are not
+    for h, m in zip(heads[many > CROWD].tolist(), many[many > CROWD].tolist(), strict=True):
+        left, reached = np.arange(h, h + m), []
+        while len(left):
+            if not reached:
+                reached, left = [int(left[0])], left[1:]
+            a = reached.pop()
+            n = sizes[sets[a]]
+            size = sizes[sets[left]]
+            near = left[np.searchsorted(size, at_least(n, percent)) : np.searchsorted(size, n * 100 // percent, side="right")]
+            hit = near[likely(np.full(len(near), a), near)] if len(near) else near
+            if len(hit):
+                add(np.full(len(hit), a), hit)
+                reached += hit.tolist()
+                left = left[~np.isin(left, hit, assume_unique=True)]
+    # all others: pairs whose sizes allow a link
+    few = np.repeat(many <= CROWD, many)
+    own = np.flatnonzero(few)
+    group = np.repeat(np.arange(len(heads)), many)[own]
+    size = sizes[sets[own]]
     place = (group << np.int64(34)) + size
     until = np.searchsorted(place, (group << np.int64(34)) + size * 100 // percent, side="right")
-    many = until - np.arange(len(sets)) - 1
-    total = np.cumsum(many)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    kept = 0
+    partners = until - np.arange(len(own)) - 1
+    total = np.cumsum(partners)
     i = 0
-    while i < len(sets):
+    while i < len(own):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + step, side="right")))
-        for k in range(0, int(many[i:j].sum()), 16 * step):
-            # a set with a great many partners takes several turns
-            if j == i + 1:
-                b = i + 1 + np.arange(k, min(int(many[i]), k + 16 * step))
-                a = np.full(len(b), i)
-            else:
-                a = np.repeat(np.arange(i, j), many[i:j])
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
-            x, y = sets[a], sets[b]
-            need = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
-            ok = ((roles[x] != roles[y]) | (roles[x] == 0)) & (names[x] != names[y]) & ((labels[x] != labels[y]) | (labels[x] == 0))
-            ok &= np.minimum(positions[a], positions[b]) + np.minimum(sizes[x] - positions[a], sizes[y] - positions[b]) >= need
-            x, y, need = x[ok], y[ok], need[ok]
-            ok = np.zeros(len(x), bool)
-            for m in range(0, len(x), step):
-                s, t = x[m : m + step], y[m : m + step]
-                ok[m : m + step] = sketches.common_at_most(s, t) >= need[m : m + step]
-            p, q = names[x[ok]], names[y[ok]]
-            found.append((np.minimum(p, q), np.maximum(p, q)))
-            kept += len(p)
-            if kept > 64 * step:
-                found = [distinct_pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))]
-                kept = len(found[0][0]) // 2
+        a = np.repeat(np.arange(i, j), partners[i:j])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners[i:j]) - partners[i:j], partners[i:j])
+        ok = likely(own[a], own[b])
+        add(own[a[ok]], own[b[ok]])
         i = j
-    return distinct_pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))
-
-
-def filter_places(ids: np.ndarray) -> np.ndarray:
-    return (W.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    a, b = forest(*(np.concatenate(z) for z in zip(*found, strict=True))) if found else (nothing, nothing)
+    by = np.argsort(names, kind="stable")
+    size_of = lambda x: sizes[by[np.searchsorted(names, x, sorter=by)]]
+    return a, b, size_of(a), size_of(b)
 
 
-def described_sets(docs: DataFrame, space: Space) -> DataFrame:
-    """One table of three kinds of rows: of every document doc_id, n_shingles and its set's name; of each batch its
-    frequent shingles with their counts (n > 0); links, from a set to a pivot within e (n = -1), and between pivots that
-    are within e of one set (n = -2)."""
-    sent = docs.sparkSession.sparkContext.broadcast(space)
-    columns = ["doc_id", "n_shingles", "name", "shingle", "n"]
+def root_links(docs: DataFrame, order: Order) -> DataFrame:
+    """a, b and their sizes: forests whose components are the root regions."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
+    percent = order.percent
 
-    def rows(name: np.ndarray | None, shingle: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none if name is None else pa.array(name), pa.array(shingle), pa.array(n.astype(np.int64))], columns)
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            links = []
-            for _, _, keys, at in sets_of(batch.column(1), own.width):
-                named = name_of(keys, at)
-                names.append(named)
-                sizes.append(np.diff(at))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                new = first_of(named, seen)
-                keys = keys[np.repeat(new, np.diff(at))]
-                named, n = named[new], sizes[-1][new]
-                parts.append(keys)
-                owner, pivot, ball, _, _ = own.near(keys, np.concatenate([[0], np.cumsum(n)]))
-                owner, pivot = owner[ball], own.names[pivot[ball]]
-                away = named[owner] != pivot
-                links.append(rows(named[owner[away]], pivot[away], np.full(away.sum(), -1)))
-                both = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-                pairs = np.unique(np.stack([pivot[both], pivot[both + 1]]), axis=1) if len(both) else np.zeros((2, 0), np.int64)
-                links.append(rows(pairs[0], pairs[1], np.full(pairs.shape[1], -2)))
-            none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), none, none], columns)
-            yield from links
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            often = counts > 1 + counts.sum() / FREQUENT
-            yield rows(None, keys[often].view(np.int64), counts[often])
+            for _, _, keys, at in sets_of(batch.column(0), sent.value.width):
+                names = name_of(keys, at)
+                new = first_of(names, seen)
+                n = np.diff(at)
+                keys, n = keys[np.repeat(new, n)], n[new]
+                made = list(postings(sent.value, keys, np.concatenate([[0], np.cumsum(n)]), names[new]))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
+
+    def met(rows: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("a", "b", "size_a", "size_b"), may_link(rows["packed"].to_pylist(), percent), strict=True)))
 
-    return save(docs.select("doc_id", "text").mapInArrow(described, "doc_id long, n_shingles long, name long, shingle long, n long"), "shingle-sets")
+    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(posted), "bucket long, packed binary")
+    return save(rows.groupBy("bucket").applyInArrow(lean_group(met), "a long, b long, size_a long, size_b long"), "shingle-open")
 
 
-def connected(pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """A label above 0 for each of the pivots ``names``, equal for those that ``pairs`` (n x 2) connect."""
-    parent = {x: x for x in names.tolist()}
+# the recursive join
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for a, b in pairs.tolist():
-        parent[root(a)] = root(b)
-    numbers: dict[int, int] = {}
-    return np.array([numbers.setdefault(root(x), len(numbers) + 1) for x in names.tolist()], np.int32)
+@dataclass
+class Pivots:
+    """Some sets, inverted."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    holders: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Pivots:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(every, kind="stable")
+        keys, first = np.unique(every[order], return_index=True)
+        return cls(keys, np.append(first, len(every)), np.repeat(np.arange(len(sets)), sizes)[order], sizes)
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of intersections, sets x pivots."""
+        out = np.zeros((len(sets), len(self.sizes)), np.int64)
+        i = 0
+        while i < len(sets):
+            j, n = i, 0
+            while j < len(sets) and (j == i or n + len(sets[j]) <= 1 << 17):
+                n += len(sets[j])
+                j += 1
+            some = np.concatenate(sets[i:j])
+            owner = np.repeat(np.arange(i, j), [len(s) for s in sets[i:j]])
+            place = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == some)
+            place, owner = place[hit], owner[hit]
+            holds = self.first[place + 1] - self.first[place]
+            # in turns, as a shingle may be in every pivot
+            total = np.cumsum(holds)
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), side="right")))
+                code = np.repeat(owner[a:b] - i, holds[a:b]) * len(self.sizes) + self.holders[ragged(self.first[place[a:b]], holds[a:b])]
+                out[i:j] += np.bincount(code, minlength=(j - i) * len(self.sizes)).reshape(j - i, -1)
+                a = b
+            i = j
+        return out
+
 
+@dataclass
+class Voronoi:
+    """Sets' places among pivots: links to pivots, and (set, region, whether linked with its pivot); region -1 is outside."""
+
+    linked: tuple[np.ndarray, np.ndarray]
+    member: np.ndarray
+    region: np.ndarray
+    tied: np.ndarray
+
+
+def voronoi(sets: list[np.ndarray], pivots: Pivots, percent: int) -> Voronoi:
+    n = np.array([len(s) for s in sets], np.int64)
+    common = pivots.common(sets)
+    union = n[:, None] + pivots.sizes[None] - common
+    ball = 100 * common >= percent * union
+    apart = 1 - common / np.maximum(union, 1)
+    e, sure = 1 - percent / 100, 1e-9
+    nearest = apart.argmin(axis=1)
+    d = apart[np.arange(len(sets)), nearest]
+    outside = d >= 1 - e - sure
+    # a pivot's members are within 1 - e of it, so that what links with them is below 1
+    visits = (apart <= np.where(outside, 2.0, d + 2 * e + sure)[:, None]) & (apart < 1)
+    visits[np.arange(len(sets)), nearest] |= ~outside
+    member, region = np.nonzero(visits)
+    away = np.flatnonzero(outside | (d >= 1 - 2 * e - sure))
+    tied = np.concatenate([ball[member, region], np.zeros(len(away), bool)])
+    return Voronoi(np.nonzero(ball), np.concatenate([member, away]), np.concatenate([region, np.full(len(away), -1)]), tied)
+
+
+def region_links(sets: list[np.ndarray], tied: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that, with ``tied`` sets connected already, connect all sets within the distance."""
+    n = np.array([len(s) for s in sets], np.int64)
+    group = np.where(tied, -1, np.arange(len(sets)))  # equal for sets that are connected
+    found: list[tuple[int, int]] = []
+
+    def link(x: int, y: int) -> None:
+        if group[x] != group[y]:
+            group[group == group[y]] = group[x]
+            found.append((x, y))
+
+    def compare(some: np.ndarray) -> None:
+        """Set by set, with those of like size that are not connected with it."""
+        some = some[np.argsort(n[some], kind="stable")]
+        for k, x in enumerate(some.tolist()):
+            rest = some[k + 1 : np.searchsorted(n[some], n[x] * 100 // percent, side="right")]
+            rest = rest[group[rest] != group[x]]
+            if len(rest) > 8:
+                common = Pivots.of([sets[x]]).common([sets[y] for y in rest])[:, 0]
+            else:
+                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in rest.tolist()], np.int64)
+            for y in rest[100 * common >= percent * (n[x] + n[rest] - common)].tolist():
+                link(x, y)
+
+    def join(some: np.ndarray, level: int) -> None:
+        if len(some) < 2 or (group[some] == group[some[0]]).all():
+            return
+        if len(some) <= CROWD or level == LEVELS:
+            return compare(some)
+        pivots = some[:: -(-len(some) // PIVOTS)]
+        own = voronoi([sets[x] for x in some.tolist()], Pivots.of([sets[x] for x in pivots.tolist()]), percent)
+        for x, p in zip(*own.linked, strict=True):
+            link(int(some[x]), int(pivots[p]))
+        order = np.argsort(own.region, kind="stable")
+        ends = np.searchsorted(own.region[order], np.arange(-1, len(pivots) + 1))
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            inner = some[own.member[order[i:j]]]
+            if len(inner) > 1:
+                join(inner, level + 1 if len(inner) < 0.8 * len(some) else LEVELS)
+
+    join(np.arange(len(sets)), 0)
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def read_sets(rows: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(k.as_buffer(), np.uint64) for k in rows["keys"]]
+
+
+def joined(rows: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Links within regions. ``rows``: region, name, n, keys, tied; a region's tied sets are connected already.
+
+    Small regions share tasks. Of a larger one, if its sets that are not tied fit a task, the others are dealt over as
+    many tasks as they fill, and meet those in each; if not, all pairs of its blocks meet.
+    """
+    half = max(1, task_shingles // 2)
+    about = rows.groupBy("region").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("tied"), 0).otherwise(F.col("n"))).alias("rest"), F.count("*").alias("members"))
+    about = save(about.where("members > 1 AND rest > 0").select("region", "total", "rest"), "shingle-regions")
+    total = about.agg(F.sum("total")).first()[0] or 0
+    tasks = max(1, -(-total // task_shingles))
+    blocks = F.ceil(F.when(F.col("rest") <= half, F.col("total") - F.col("rest")).otherwise(F.col("total")) / half).cast("long")
+    dealt = rows.join(about, "region").withColumn("blocks", F.greatest(F.lit(1).cast("long"), blocks))
+    own = F.pmod(F.xxhash64("name", F.lit(3)), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = F.transform(every, lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
+    places = F.when(F.col("total") <= task_shingles, F.array(F.lit(0).cast("long")))
+    places = places.when(F.col("rest") <= half, F.when(F.col("tied"), F.array(own)).otherwise(every)).otherwise(pairs)
+    task = F.when(F.col("total") <= task_shingles, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "place"))
+    dealt = dealt.withColumn("place", F.explode(places)).select(task.alias("task"), "region", "name", "keys", "tied")
+
+    def met(some: pa.Table) -> pa.Table:
+        sets, names, regions, tied = read_sets(some), some["name"].to_numpy(), some["region"].to_numpy(), some["tied"].to_numpy()
+        order = np.lexsort((names, regions))
+        new = np.ones(len(order), bool)
+        new[1:] = (regions[order][1:] != regions[order][:-1]) | (names[order][1:] != names[order][:-1])
+        order = order[new]
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(regions[order]) != 0, [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            own = order[i:j]
+            x, y = region_links([sets[k] for k in own.tolist()], tied[own], percent)
+            a.append(names[own[x]])
+            b.append(names[own[y]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return save(dealt.groupBy("task").applyInArrow(lean_group(met), "a long, b long"), "shingle-links")
+
+
+def split(rows: DataFrame, percent: int, task_shingles: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Regions too full for a task, split by pivots of their own: links to pivots, and rows of the regions that arise."""
+    about = rows.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    about = save(about.withColumn("blocks", F.ceil(F.col("total") / task_shingles)).withColumn("pivots", F.least(F.lit(256), 4 + 4 * F.col("blocks"))), "shingle-full")
+    sized = rows.join(about, "region").withColumn("draw", F.pmod(F.xxhash64("name", F.lit(level)), F.col("members")))
+    block = F.pmod(F.xxhash64("name", F.lit(-1)), F.col("blocks"))
+    left = sized.select("region", block.alias("block"), "name", "n", "keys")
+    right = sized.where("draw < pivots").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "name", "keys")
+
+    def cut(key: tuple, some: pa.Table, chosen: pa.Table) -> pa.Table:
+        region = key[0].as_py()
+        names, n = some["name"].to_numpy(), some["n"].to_numpy()
+        if len(chosen):
+            centres = chosen["name"].to_numpy()
+            own = voronoi(read_sets(some), Pivots.of(read_sets(chosen)), percent)
+        else:
+            centres, everyone = np.zeros(0, np.int64), np.arange(len(some))
+            own = Voronoi((everyone[:0], everyone[:0]), everyone, np.full(len(some), -1), np.zeros(len(some), bool))
+        x, p = own.linked
+        away = names[x] != centres[p]
+        marks = np.append(centres, np.int64(0x0D15))[own.region].view(np.uint64) if len(own.region) else np.zeros(0, np.uint64)
+        regions = W.mix(W.mix(marks) ^ np.uint64(region % 2**64) ^ np.uint64(level + 1)).view(np.int64)
+        rows = some.select(["name", "n", "keys"]).take(pa.array(own.member))
+        made = pa.table({"region": regions, "name": rows["name"], "n": rows["n"], "keys": rows["keys"], "tied": own.tied, "other": pa.nulls(len(rows), pa.int64())})
+        links = pa.table({"region": pa.nulls(away.sum(), pa.int64()), "name": names[x][away], "n": n[x][away], "keys": pa.nulls(away.sum(), pa.binary()), "tied": np.ones(away.sum(), bool), "other": centres[p][away]})
+        return pa.concat_tables([made, links.cast(made.schema)])
+
+    keys = ["region", "block"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lean_pair(cut), "region long, name long, n long, keys binary, tied boolean, other long")
+    out = save(out, "shingle-split")
+    drop(about)
+    return out.where("other IS NOT NULL").select(F.col("name").alias("a"), F.col("other").alias("b")), out.where("other IS NULL").drop("other")
+
+
+def linked(rows: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """All links that connect the sets of each region. ``rows``: region, name, n, keys, tied."""
+    half = max(1, task_shingles // 2)
+    full = rows.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > task_shingles).select("region", F.col("total").alias("before"))
+    full = save(full, "shingle-large")
+    ready = rows.join(full, "region", "left_anti")
+    links, level = None, 0
+    add = lambda x: x if links is None else links.union(x)
+    rest = rows.join(full, "region", "left_semi")
+    while level < LEVELS and not full.isEmpty():
+        to_pivots, parts = split(rest, percent, task_shingles, level)
+        links = add(to_pivots)
+        # a region is done if what is not tied fits a task, or if it has not become much smaller than the largest before
+        largest = full.agg(F.max("before")).first()[0]
+        sizes = parts.groupBy("region").agg(F.sum("n").alias("before"), F.sum(F.when(F.col("tied"), 0).otherwise(F.col("n"))).alias("loose"))
+        full = save(sizes.where((F.col("loose") > half) & (F.col("before") > task_shingles) & (F.col("before") < 0.8 * largest)).select("region", "before"), "shingle-large")
+        links = add(joined(parts.join(full, "region", "left_anti"), percent, task_shingles))
+        rest = parts.join(full, "region", "left_semi").withColumn("tied", F.lit(False))
+        level += 1
+    links = add(joined(ready, percent, task_shingles))
+    return links if full.isEmpty() else add(joined(rest, percent, task_shingles))
+
+
+def whole_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
+    """name and keys of the sets of documents whose doc_id is in ``ids``; a bit filter of bounded size lets some others pass."""
+    wanted = ids.count()
+    bits = min(max(FILTER_BITS[0], 1 << (8 * wanted).bit_length()), FILTER_BITS[1])
+
+    def place(some: pa.Array) -> np.ndarray:
+        return (W.mix(some.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0)))], ["place"])
 
-def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
-    """name and set, for documents whose ids pass the bit filter ``wanted``; some others may pass it."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    words = ids.mapInArrow(places, "place long").groupBy((F.col("place") / 64).cast("long").alias("word"))
+    filled = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toPandas()
+    filter_ = np.zeros(bits // 64, np.int64)
+    filter_[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(filter_.view(np.uint64))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if sent.value is not None:
-                ids = filter_places(batch.column(0).fill_null(0).to_numpy())
-                batch = batch.filter(pa.array((sent.value[ids >> 6] >> (ids & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            at = place(batch.column(0))
+            batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for _, _, keys, at in sets_of(batch.column(1), width):
                 data = [keys[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(name_of(keys, at)), pa.array(data, pa.binary())], ["name", "keys"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(taken, "name long, keys binary")
-
-
-def pivots_of(docs: DataFrame, width: int, percent: int, pivots: int, salts: int) -> Space:
-    """The sets of ``pivots`` documents, those with the smallest hashes of their ids."""
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pivots)
-    taken = whole_sets(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), width, None).dropDuplicates(["name"]).limit(pivots).toPandas()
-    sets = [np.frombuffer(b, np.uint64) for b in taken["keys"]]
-    names = taken["name"].to_numpy(np.int64)
-    space = space_of([], names[:0], width, percent, salts)
-    kept: list[int] = []
-    for i in range(0, len(sets), 256):
-        # a pivot in the middle of many others tells nothing apart
-        some = range(i, min(len(sets), i + 256))
-        at = np.concatenate([[0], np.cumsum([len(sets[k]) for k in some])])
-        owner, _, ball, _, _ = space.near(np.concatenate([sets[k] for k in some]), at)
-        close = np.bincount(owner[ball], minlength=len(some))
-        kept += [k for k, n in zip(some, close.tolist(), strict=True) if n < CROWD and len(sets[k])]
-        space = space_of([sets[k] for k in kept], names[kept], width, percent, salts)
-    return space
-
-
-def space_of(sets: list[np.ndarray], names: np.ndarray, width: int, percent: int, salts: int) -> Space:
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate([np.zeros(0, np.uint64), *sets])
-    order = np.argsort(every, kind="stable")
-    keys, first = np.unique(every[order], return_index=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[order].astype(np.int64)
-    nothing = np.zeros(0, np.int64)
-    return Space(width, percent, 1, salts, keys[:0], nothing, keys, np.append(first, len(every)).astype(np.int64), holders, sizes, names, nothing, np.zeros(0, bool))
-
-
-def with_statistics(space: Space, described: DataFrame, bucket_postings: int) -> Space:
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    common = described.where("n > 0").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
-    common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-    chained = described.where("n = -2").select("name", "shingle").distinct().toPandas().to_numpy(np.int64)
-    held = described.where("n = -1").select("shingle").distinct().toPandas()["shingle"].to_numpy(np.int64)
-    buckets = max(1, -(-total * (101 - space.percent) // 100 // bucket_postings))
-    return replace(space, buckets=int(buckets), frequent=common["key"].to_numpy(np.uint64), frequency=common["n"].to_numpy(np.int64), labels=connected(chained, space.names), occupied=np.isin(space.names, held))
-
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(taken), "name long, keys binary")
 
-def pairs_of(docs: DataFrame, space: Space) -> DataFrame:
-    """a, b: pairs yet to verify; some more than once."""
-    sent = docs.sparkSession.sparkContext.broadcast(space)
-    percent = space.percent
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, keys, at in sets_of(batch.column(0), sent.value.width):
-                names = name_of(keys, at)
-                new = first_of(names, seen)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                n = np.diff(at)
-                keys, n = keys[np.repeat(new, n)], n[new]
-                made = list(postings(sent.value, keys, np.concatenate([[0], np.cumsum(n)]), names[new]))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
-
-    def met(rows: pa.Table) -> pa.Table:
-        pairs = candidates(rows["packed"].to_pylist(), percent)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    sent_rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(posted, "bucket long, packed binary")
-    return sent_rows.groupBy("bucket").applyInArrow(met, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, task_shingles: int) -> DataFrame:
-    """Links (a, b) that connect what the pairs (a, b) within the distance connect.
-
-    Sets meet by component of the graph of pairs: small components share tasks, larger ones are cut into blocks, and a
-    task gets two blocks of at most about ``task_shingles``. So a set is shipped once, or once for each block of its
-    component, and not for each pair.
-    """
-    roots = components(pairs)
-    nodes = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().join(sizes, "name")
-    nodes = nodes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    nodes = save(nodes, "shingle-nodes")
-    totals = nodes.groupBy("root").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("blocks"))
-    tasks = max(1, -(-(nodes.agg(F.sum("n_shingles")).first()[0] or 0) // task_shingles))
-    place = nodes.join(totals, "root").select(
-        "name", "blocks", F.pmod(F.xxhash64("name", F.lit(1)), F.col("blocks")).cast("int").alias("block"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("task"),
-    )
-    place = save(place, "shingle-places")
-    first = place.select(F.col("name").alias("a"), F.col("task").alias("task"), F.col("blocks").alias("many"), F.col("block").alias("p"))
-    second = place.select(F.col("name").alias("b"), F.col("block").alias("q"))
-    dealt = pairs.join(first, "a").join(second, "b").select("task", "many", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "a", "b")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    shipped = sets.join(place, "name").select("task", "blocks", "block", "name", "keys", other)
-    shipped = shipped.select("task", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "name", "keys")
-
-    def met(key: tuple, open_: pa.Table, some: pa.Table) -> pa.Table:
-        number = {x: i for i, x in enumerate(some["name"].to_pylist())}
-        arrays = [np.frombuffer(k.as_buffer(), np.uint64) for k in some["keys"]]
-        n = np.array([len(k) for k in arrays], np.int64)
-        counts = np.array([np.bincount(k >> np.uint64(56), minlength=FINE) for k in arrays], np.int32).reshape(-1, FINE)
-        a, b = (np.array([number[x] for x in open_[c].to_pylist()], np.int64) for c in ("a", "b"))
-        parent = list(range(len(arrays)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found = []
-        for i in range(0, len(a), 8192):
-            s, t = a[i : i + 8192], b[i : i + 8192]
-            may = np.minimum(counts[s], counts[t]).sum(axis=1) * (100 + percent) >= percent * (n[s] + n[t])
-            for x, y in zip(s[may].tolist(), t[may].tolist(), strict=True):
-                if (p := root(x)) != (q := root(y)):
-                    common = len(np.intersect1d(arrays[x], arrays[y], assume_unique=True))
-                    if 100 * common >= percent * (n[x] + n[y] - common):
-                        parent[p] = q
-                        found.append((x, y))
-        names = some["name"].to_numpy()
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
-
-    keys = ["task", "blocks", "low", "high"]
-    left = dealt.withColumnRenamed("many", "blocks").toDF(*keys, "a", "b")
-    return left.groupBy(*keys).cogroup(shipped.toDF(*keys, "name", "keys").groupBy(*keys)).applyInArrow(met, "a long, b long")
-
-
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, pivots: int = 2048, salts: int = 2, bucket_postings: int = 1_500_000, task_shingles: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs``."""
-    space = pivots_of(docs, width, percent, pivots, salts)
-    described = described_sets(docs, space)
-    classes = described.where("n IS NULL").select("doc_id", "n_shingles", "name")
-    reps = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    links = described.where("n = -1").select(F.col("name").alias("a"), F.col("shingle").alias("b"))
-    open_ = save(pairs_of(docs, with_statistics(space, described, bucket_postings)).distinct(), "shingle-open")
+def classes_of(docs: DataFrame, width: int, percent: int, bucket_postings: int = 1_500_000, task_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component (a number for each component; null without
+    shingles or doc_id) and least (the component's least doc_id) of every row of ``docs``."""
+    described = described_sets(docs, width)
+    classes = described.where("n IS NULL").select("doc_id", "text_hash", "n_shingles", "name")
+    open_ = root_links(docs, order_of(described, width, percent, bucket_postings))
+    reps = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
+    reps = save(reps, "shingle-names")  # one row for each set
     if not open_.isEmpty():
-        nodes = open_.select(F.col("a").alias("name")).union(open_.select("b")).distinct()
-
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(filter_places(batch.column(0).to_numpy()))], ["place"])
-
-        bits = nodes.join(reps, "name").select("doc_id").mapInArrow(places, "place long").groupBy((F.col("place") / 64).cast("long").alias("word"))
-        filled = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toPandas()
-        wanted = np.zeros(FILTER_BITS // 64, np.int64)
-        wanted[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-        found = whole_sets(docs, width, wanted.view(np.uint64)).join(nodes, "name").dropDuplicates(["name"])
-        sets = save(found, "shingle-wanted")
-        links = links.union(save(verified(open_, sets, classes.select("name", "n_shingles").distinct(), percent, task_shingles), "shingle-links"))
-        drop(sets)
-    roots = components(links)
-    named = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    named = named.withColumn("root", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        nodes = open_.select(F.col("a").alias("name"), F.col("size_a").alias("n")).union(open_.select("b", "size_b")).distinct()
+        roots = components(open_.select("a", "b"))
+        regions = nodes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+        nodes = save(regions.select("name", "n", F.coalesce("root", "name").alias("region")), "shingle-nodes")
+        drop(roots)
+        found = whole_sets(docs, width, reps.join(nodes, "name", "left_semi").select("least")).join(nodes, "name").dropDuplicates(["name"])
+        rows = save(found.select("region", "name", "n", "keys", F.lit(False).alias("tied")), "shingle-wanted")
+        roots = components(linked(rows, percent, task_shingles)).select(F.col("node").alias("name"), "root")
+        for done in (rows, open_, nodes):
+            drop(done)
+        both = reps.join(roots, "name").select("root", "least").union(roots.select(F.col("root").alias("name")).distinct().join(reps, "name"))
+        least = save(both.groupBy("root").agg(F.min("least").alias("lower")), "shingle-least")
+        named = reps.join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root"))
+        reps = save(named.join(least, "root", "left").select("name", F.col("root").alias("component"), F.coalesce("lower", "least").alias("least")), "shingle-components")
+    else:
+        reps = reps.select("name", F.col("name").alias("component"), "least")
+    own = classes.withColumn("name", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("name")))
+    return own.join(reps, "name", "left").select("doc_id", "text_hash", "n_shingles", "component", "least")
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, bucket_postings: int = 1_500_000, task_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs``."""
+    found = classes_of(docs, width, percent, bucket_postings, task_shingles)
+    return found.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

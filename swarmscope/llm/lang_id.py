@@ -20,14 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmscope.llm import words as W
+from swarmscope.llm.memory import lean
 
 ORDER = 3
-LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -140,7 +139,7 @@ def fit(docs: DataFrame, learns: Column, per_language: int = 400) -> Trees:
                         codes, n = np.unique(grams(data, offsets[i : j + 1])[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    found = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(lean(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     trees = []
     for lang in languages:
         own = found[found["lang"] == lang].sort_values("gram")
@@ -154,12 +153,14 @@ def predict(docs: DataFrame, trees: Trees, predicted: str = "lang_pred", score:
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     names = docs.columns
     at = names.index("text")
+    schema = docs.select("*", F.lit("").alias(predicted), F.lit(0.0).alias(score)).schema
+    marked = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(predicted))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             texts = batch.column(at)
-            letters = np.array([x is not None and LETTER.search(x) is not None for x in texts.to_pylist()], bool)
+            letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
             best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             if model.languages:
                 parts = [model.bits(data, offsets[i : j + 1]) for data, offsets in W.buffers(texts) for i, j in W.runs(offsets)]
@@ -168,6 +169,6 @@ def predict(docs: DataFrame, trees: Trees, predicted: str = "lang_pred", score:
                 sure = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
             known = letters & bool(model.languages)
             langs = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], [*names, predicted, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], [*names, predicted, score])
 
-    return docs.mapInArrow(named, docs.select("*", F.lit("").alias(predicted), F.lit(0.0).alias(score)).schema)
+    return marked.mapInArrow(lean(named), schema)

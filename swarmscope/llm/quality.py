@@ -11,7 +11,7 @@ What is broadcast has a fixed bound: ``labelled`` vectors of ``rank`` numbers, a
 
 Defined results: a null or empty text scores the share of label 1, as does every text if nothing is labelled 1 or 0
 (then 1); label rows with null ids or labels, or for ids that are not in ``docs``, teach nothing; of several rows for
-one id the mean is taken, and rows at a half are left out.
+one id the mean is taken, and rows at a half are left out; of several texts for one id the least teaches.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmscope.llm import words as W
+from swarmscope.llm.memory import lean
 
 WORD_TERMS, SHAPE_TERMS, REPEAT = 4096, 2047, 6143
 TERMS = WORD_TERMS + SHAPE_TERMS + 1
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "qualit
                 n += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1, dtype=np.int32)), pa.array(np.append(total, n))], ["term", "n"])
 
-    df = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = docs.select("text").mapInArrow(lean(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(TERMS + 1)
     n[df["term"].to_numpy()] = df["n"].to_numpy()
     idf = np.log((n[-1] + 1) / (n[:-1] + 1)).astype(np.float32) + np.float32(0.1)
@@ -131,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "qualit
                     values.append(row[at])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["doc_id", "terms", "n"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    taken = rows.mapInArrow(sparse, "doc_id long, terms array<int>, n array<int>").toPandas().sort_values("doc_id") if ids else None
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    taken = rows.mapInArrow(lean(sparse), "doc_id long, terms array<int>, n array<int>").toPandas().sort_values("doc_id") if ids else None
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 1.0
     if taken is None or not len(taken):
         return Voter(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior, neighbours, power)
@@ -159,4 +161,4 @@ def score(docs: DataFrame, voter: Voter, column: str = "quality_score") -> DataF
             out = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, column])
 
-    return docs.mapInArrow(scored, docs.select("*", F.lit(0.0).alias(column)).schema)
+    return docs.mapInArrow(lean(scored), docs.select("*", F.lit(0.0).alias(column)).schema)

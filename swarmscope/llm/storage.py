@@ -41,11 +41,14 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: lost executors cost a reread, and the planner knows its true size."""
+    """Write ``df`` once and read it back: lost executors cost a reread, and the planner knows its true size. The table
+    goes with ``drop``, or as the application ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffles_end(spark):
         df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

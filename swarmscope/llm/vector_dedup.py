@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmscope.llm.ann import matrix, valid
-from swarmscope.llm.components import components
+from swarmscope.llm.components import components, forest
 from swarmscope.llm.storage import save
 
 GRID_SHARE = 0.25
@@ -55,24 +55,6 @@ def grid_reach(grid: int, recall: float) -> float:
     return NormalDist().inv_cdf((1 + (1 - GRID_SHARE * (1 - recall)) ** (1 / grid)) / 2) if grid else 0.0
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the given edges do: each node with the least of its component."""
-    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    away = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[away], nodes[root[away]]
-
-
 def linked_pairs(q: np.ndarray, q_at: np.ndarray, x: np.ndarray, x_at: np.ndarray, width: float, needed: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) of pairs with enough collisions and a cosine of ``least``; ``*_at``: their sorted-window projections."""
     orders = [np.argsort(x_at[:, k], kind="stable") for k in range(x_at.shape[1])]

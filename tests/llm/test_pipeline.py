@@ -105,3 +105,25 @@ def test_mixing_reruns_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a, b = (sorted(r["doc_id"] for r in mixing.mix_sources(d).select("doc_id").collect()) for d in (docs, docs.repartition(7)))
     assert a == b
+
+
+def test_dedup_keeps_rows_by_identity(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "an altogether other text that shares no shingle with it at all"
+    rows = [(1, text, "a"), (1, text, "b"), (5, text, "c"), (5, other, "d"), (None, text, "e"), (None, text, "e"), (7, None, "f"), (8, "", "g"), (8, "", "g"), (9, other.upper(), "h"), (5, " ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)
+    kept = corpus_pipeline.dedup_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, text), (5, other), (None, text), (None, text), (7, None), (8, ""), (5, " ")], key=str)
+    assert corpus_pipeline.dedup_stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = docs.selectExpr("*", "'mine' AS quality_score", "doc_id AS lang_score", "'x' AS Lang_Pred", "1 AS name", "2 AS component", "3 AS text_hash")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, clash, SF)
+        assert kept.columns == clash.columns, name
+        first = kept.first()
+        assert first["quality_score"] == "mine" and first["lang_score"] == first["doc_id"] and first["Lang_Pred"] == "x"

@@ -258,12 +258,12 @@ def near_copies() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "pivots"), [(4, 85, 4096), (4, 85, 5), (5, 80, 40)])
-def test_jaccard_join_is_exact(spark, width, percent, pivots):
+@pytest.mark.parametrize(("width", "percent", "bucket_postings", "task_shingles"), [(4, 85, 700, 900), (4, 85, 10**6, 10**6), (5, 80, 5000, 300)])
+def test_jaccard_join_is_exact(spark, width, percent, bucket_postings, task_shingles):
     rows = near_copies() + [r for r in table() if r[0] is not None and r[0] != 307]
     rows = [(10_000 + i if r in table() else r[0], *r[1:]) for i, r in enumerate(rows)]
     frame = spark.createDataFrame(rows, DOCS).repartition(5)
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame, width, percent, pivots, bucket_postings=700, task_shingles=900).collect()}
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame, width, percent, bucket_postings, task_shingles).collect()}
     assert out == brute_components(rows, width, percent)
 
 
@@ -275,6 +275,66 @@ def test_jaccard_join_edges(docs, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def clouds(seed: int, groups: int, copies: int, edits: float) -> list[np.ndarray]:
+    """Sets around some centres, at distances from nearly 0 to well beyond the linking distance."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        centre = rng.integers(1, 2**63, int(rng.integers(20, 120)), dtype=np.uint64)
+        for _ in range(copies):
+            keep = centre[rng.random(len(centre)) > edits * rng.random()]
+            out.append(np.unique(np.concatenate([keep, rng.integers(1, 2**63, int(edits * len(centre) * rng.random()) + 1, dtype=np.uint64)])))
+    return out
+
+
+def plain_groups(sets: list[np.ndarray], percent: int) -> list[int]:
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            if group[i] != group[j] and 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize(("seed", "copies", "edits", "percent"), [(1, 90, 0.1, 85), (2, 60, 0.3, 85), (3, 150, 0.2, 80), (4, 200, 0.15, 90)])
+def test_region_join_is_exact(seed, copies, edits, percent):
+    sets = clouds(seed, 3, copies, edits)
+    x, y = jaccard_join.region_links(sets, np.zeros(len(sets), bool), percent)
+    a, b = jaccard_join.forest(x, y)
+    group = np.arange(len(sets))
+    group[a] = b
+    assert group.tolist() == plain_groups(sets, percent)
+    assert len(x) == len(sets) - len(set(group.tolist()))  # a forest
+
+
+def test_pivots_lose_no_link():
+    sets = clouds(7, 6, 40, 0.3)
+    own = jaccard_join.voronoi(sets, jaccard_join.Pivots.of(sets[::35]), 85)
+    regions = [set(own.region[own.member == i].tolist()) for i in range(len(sets))]
+    assert all(regions) and sum(map(len, regions)) < 3 * len(sets)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            assert 100 * common < 85 * (len(x) + len(sets[j]) - common) or regions[i] & regions[j]
+
+
+def test_groups_of_copies_have_linear_output(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1200):
+        copy = list(base)
+        copy[int(rng.integers(120))] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    described = jaccard_join.described_sets(frame, 4)
+    assert jaccard_join.root_links(frame, jaccard_join.order_of(described, 4, 85, 10**6)).count() < 1300
+    out = jaccard_join.jaccard_join(frame, task_shingles=9000)
+    assert {r["component_id"] for r in out.collect()} == {0}
+
+
 @pytest.mark.parametrize("n", [300, 520, 3000, 60_000, 4_000_000])
 def test_counts_never_understate_what_is_common(n):
     rng = np.random.default_rng(3)
@@ -283,7 +343,7 @@ def test_counts_never_understate_what_is_common(n):
     sizes = np.array([len(a), len(b)])
     wide = jaccard_join.COUNTS << jaccard_join.class_of(sizes)
     flat = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (w - 1), minlength=w), 255).astype(np.uint8) for s, w in zip((a, b), wide, strict=True)]
-    most = jaccard_join.Sketches(sizes, np.concatenate(flat), 0).common_at_most(np.array([0, 0]), np.array([1, 0]))
+    most = jaccard_join.Sketches(sizes, np.concatenate(flat)).common_at_most(np.array([0, 0]), np.array([1, 0]))
     assert most[0] >= len(np.intersect1d(a, b)) and most[1] >= len(a)
 
 
