@@ -12,30 +12,52 @@ from pyspark.sql import functions as F
 
 from swarmscope.llm import jaccard_join, lang_id, mixing, packing, quality
 from swarmscope.llm.queries import QUALITY_LEAST, remainder
-from swarmscope.llm.storage import save
+from swarmscope.llm.storage import drop, save
 
 SURE_LANGUAGE = 0.5
 SHINGLE, SIMILAR = 5, 80
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the operator's threshold go."""
     voter = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
-    return quality.score(docs, voter).where(F.col("quality_score") >= QUALITY_LEAST).select(docs.columns)
+    score = unused(docs, "quality_score")
+    return quality.score(docs, voter, score).where(F.col(score) >= QUALITY_LEAST).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language for sure, go."""
     trees = lang_id.fit(docs, remainder(4) != 2)
-    named = lang_id.predict(docs, trees)
-    return named.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("lang_score") >= SURE_LANGUAGE)).select(docs.columns)
+    predicted, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    named = lang_id.predict(docs, trees, predicted, score)
+    return named.where((F.col(predicted) != lang_id.UNKNOWN) & (F.col(score) >= SURE_LANGUAGE)).select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; rows without an id stay."""
-    groups = jaccard_join.jaccard_join(docs, SHINGLE, SIMILAR)
-    gone = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dedup-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents the row with the least id stays, ties by the hash of its text.
+
+    Rows equal in id and text are one document, of which one row stays. Rows with the same id and other texts are
+    documents of their own. Rows without an id stay, and so do texts without a word.
+    """
+    rows = save(jaccard_join.classes_of(docs.select("doc_id", "text"), SHINGLE, SIMILAR), "dedup-rows")
+    documents = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("component").alias("component"), F.count("*").alias("copies"))
+    documents = save(documents, "dedup-documents")
+    least = documents.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays")).select("stays.*")
+    gone = save(documents.where("component IS NOT NULL").select("doc_id", "text_hash").join(least, ["doc_id", "text_hash"], "left_anti").toDF("gone_id", "gone_hash"), "dedup-gone")
+    again = save(documents.where("copies > 1").select("doc_id", "text_hash").join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti").toDF("again_id", "again_hash"), "dedup-again")
+    drop(rows)
+    same = lambda other: (docs["doc_id"] == F.col(f"{other}_id")) & (F.xxhash64(docs["text"]) == F.col(f"{other}_hash"))
+    kept = docs.join(gone, same("gone"), "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same("again"), "left_anti").union(docs.join(again, same("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +85,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
