@@ -9,7 +9,7 @@ The distance of two sets is one minus their Jaccard similarity, a metric. With a
    shingles); sizes, positions and sketches tell which may be within e. A bucket returns a spanning forest of that graph,
    never its pairs. Its connected components are the root regions: sets of different ones are farther apart than e.
 3. Regions join recursively. A region that is too full for a task gets pivots from its own sets. Each set's distances to
-   the pivots are exact. A set within e of a pivot is linked with it. Each set's home is its nearest pivot's region, or,
+   the pivots, which are more than 2 e apart, are exact. A set within e of a pivot is linked with it. Each set's home is its nearest pivot's region, or,
    if all pivots are at 1 - e or more, the region outside. By the triangle inequality a set at distance d from its own
    pivot can link with members of another pivot's region only if it is within d + 2 e of that pivot, and with those
    outside only if d is at least 1 - 2 e: it is replicated there. Sets linked with one pivot are connected and need no
@@ -44,8 +44,10 @@ from swarmscope.llm.stretches import ragged
 COUNTS = 64
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
 CELL = 4096  # sets that meet by one shingle in one place
-CROWD = 64  # sets of a cell or region from which on it is not compared pair by pair
-PIVOTS = 24  # of a region inside a task
+CROWD = 64  # sets of a cell from which on it is not compared pair by pair
+SMALL = 12  # sets of a region inside a task that are compared set by set
+PIVOTS = 32  # drawn for a region inside a task, and four times as many wherever they tell too little apart
+DRAWN = 1024  # pivots drawn for a region that is split over tasks, at most
 LEVELS = 4
 FILTER_BITS = 1 << 20, 1 << 28
 
@@ -385,23 +387,45 @@ class Voronoi:
     tied: np.ndarray
 
 
-def voronoi(sets: list[np.ndarray], pivots: Pivots, percent: int) -> Voronoi:
-    n = np.array([len(s) for s in sets], np.int64)
+def apart_of(sets: list[np.ndarray], pivots: Pivots) -> tuple[np.ndarray, np.ndarray]:
+    """Intersections and unions of sets and pivots."""
     common = pivots.common(sets)
-    union = n[:, None] + pivots.sizes[None] - common
-    ball = 100 * common >= percent * union
-    apart = 1 - common / np.maximum(union, 1)
+    return common, np.array([len(s) for s in sets], np.int64)[:, None] + pivots.sizes[None] - common
+
+
+def thinned(pivots: list[np.ndarray], percent: int) -> list[int]:
+    """Pivots farther than 2 e from each other: closer ones tell nothing apart, and sets would visit all of them."""
+    common, union = apart_of(pivots, Pivots.of(pivots))
+    close = 100 * common >= max(1, 2 * percent - 100) * union
+    kept: list[int] = []
+    gone = np.zeros(len(pivots), bool)
+    for i in range(len(pivots)):
+        if not gone[i]:
+            kept.append(i)
+            gone |= close[i]
+    return kept
+
+
+def voronoi(sets: list[np.ndarray], pivots: Pivots, percent: int) -> Voronoi:
     e, sure = 1 - percent / 100, 1e-9
-    nearest = apart.argmin(axis=1)
-    d = apart[np.arange(len(sets)), nearest]
-    outside = d >= 1 - e - sure
-    # a pivot's members are within 1 - e of it, so that what links with them is below 1
-    visits = (apart <= np.where(outside, 2.0, d + 2 * e + sure)[:, None]) & (apart < 1)
-    visits[np.arange(len(sets)), nearest] |= ~outside
-    member, region = np.nonzero(visits)
-    away = np.flatnonzero(outside | (d >= 1 - 2 * e - sure))
-    tied = np.concatenate([ball[member, region], np.zeros(len(away), bool)])
-    return Voronoi(np.nonzero(ball), np.concatenate([member, away]), np.concatenate([region, np.full(len(away), -1)]), tied)
+    parts = []
+    for i in range(0, len(sets), 512):
+        common, union = apart_of(sets[i : i + 512], pivots)
+        ball = 100 * common >= percent * union
+        apart = 1 - common / np.maximum(union, 1)
+        nearest = apart.argmin(axis=1)
+        d = apart[np.arange(len(apart)), nearest]
+        outside = d >= 1 - e - sure
+        # a pivot's members are within 1 - e of it, so that what links with them is below 1
+        visits = (apart <= np.where(outside, 2.0, d + 2 * e + sure)[:, None]) & (apart < 1)
+        visits[np.arange(len(apart)), nearest] |= ~outside
+        member, region = np.nonzero(visits)
+        away = np.flatnonzero(outside | (d >= 1 - 2 * e - sure))
+        tied = np.concatenate([ball[member, region], np.zeros(len(away), bool)])
+        x, p = np.nonzero(ball)
+        parts.append((x + i, p, np.concatenate([member, away]) + i, np.concatenate([region, np.full(len(away), -1)]), tied))
+    x, p, member, region, tied = (np.concatenate(z) for z in zip(*parts, strict=True))
+    return Voronoi((x, p), member, region, tied)
 
 
 def region_links(sets: list[np.ndarray], tied: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -420,31 +444,39 @@ def region_links(sets: list[np.ndarray], tied: np.ndarray, percent: int) -> tupl
         some = some[np.argsort(n[some], kind="stable")]
         for k, x in enumerate(some.tolist()):
             rest = some[k + 1 : np.searchsorted(n[some], n[x] * 100 // percent, side="right")]
-            rest = rest[group[rest] != group[x]]
-            if len(rest) > 8:
-                common = Pivots.of([sets[x]]).common([sets[y] for y in rest])[:, 0]
-            else:
-                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in rest.tolist()], np.int64)
-            for y in rest[100 * common >= percent * (n[x] + n[rest] - common)].tolist():
-                link(x, y)
-
-    def join(some: np.ndarray, level: int) -> None:
+            for y in rest[group[rest] != group[x]].tolist():
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    link(x, y)
+
+    def join(some: np.ndarray, pivots: int) -> None:
         if len(some) < 2 or (group[some] == group[some[0]]).all():
             return
-        if len(some) <= CROWD or level == LEVELS:
+        if len(some) <= SMALL:
             return compare(some)
-        pivots = some[:: -(-len(some) // PIVOTS)]
-        own = voronoi([sets[x] for x in some.tolist()], Pivots.of([sets[x] for x in pivots.tolist()]), percent)
+        every = pivots >= len(some)  # then the distances to pivots are all there are
+        chosen = some if every else some[:: -(-len(some) // pivots)]
+        if not every:
+            chosen = chosen[thinned([sets[x] for x in chosen.tolist()], percent)]
+        if every:
+            # all sets but the largest connected group's meet all
+            labels, size = np.unique(group[some], return_counts=True)
+            some = some[group[some] != labels[size.argmax()]]
+        own = voronoi([sets[x] for x in some.tolist()], Pivots.of([sets[x] for x in chosen.tolist()]), percent)
         for x, p in zip(*own.linked, strict=True):
-            link(int(some[x]), int(pivots[p]))
+            link(int(some[x]), int(chosen[p]))
+        if every:
+            return
+        if len(own.member) > 2 * len(some):
+            # too many at borders: all distances are less work than the regions' own
+            return join(some, len(some))
         order = np.argsort(own.region, kind="stable")
-        ends = np.searchsorted(own.region[order], np.arange(-1, len(pivots) + 1))
+        ends = np.searchsorted(own.region[order], np.arange(-1, len(chosen) + 1))
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             inner = some[own.member[order[i:j]]]
-            if len(inner) > 1:
-                join(inner, level + 1 if len(inner) < 0.8 * len(some) else LEVELS)
+            join(inner, pivots if len(inner) < 0.5 * len(some) else 4 * pivots)
 
-    join(np.arange(len(sets)), 0)
+    join(np.arange(len(sets)), PIVOTS)
     ends = np.array(found, np.int64).reshape(-1, 2)
     return ends[:, 0], ends[:, 1]
 
@@ -495,7 +527,7 @@ def joined(rows: DataFrame, percent: int, task_shingles: int) -> DataFrame:
 def split(rows: DataFrame, percent: int, task_shingles: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Regions too full for a task, split by pivots of their own: links to pivots, and rows of the regions that arise."""
     about = rows.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    about = save(about.withColumn("blocks", F.ceil(F.col("total") / task_shingles)).withColumn("pivots", F.least(F.lit(256), 4 + 4 * F.col("blocks"))), "shingle-full")
+    about = save(about.withColumn("blocks", F.ceil(F.col("total") / task_shingles)).withColumn("pivots", F.least(F.lit(DRAWN), F.ceil(8 + F.col("members") / 16))), "shingle-full")
     sized = rows.join(about, "region").withColumn("draw", F.pmod(F.xxhash64("name", F.lit(level)), F.col("members")))
     block = F.pmod(F.xxhash64("name", F.lit(-1)), F.col("blocks"))
     left = sized.select("region", block.alias("block"), "name", "n", "keys")
@@ -505,8 +537,11 @@ def split(rows: DataFrame, percent: int, task_shingles: int, level: int) -> tupl
         region = key[0].as_py()
         names, n = some["name"].to_numpy(), some["n"].to_numpy()
         if len(chosen):
-            centres = chosen["name"].to_numpy()
-            own = voronoi(read_sets(some), Pivots.of(read_sets(chosen)), percent)
+            chosen = chosen.take(pa.array(np.argsort(chosen["name"].to_numpy())))  # the same in every block
+            centres = read_sets(chosen)
+            kept = thinned(centres, percent)
+            own = voronoi(read_sets(some), Pivots.of([centres[k] for k in kept]), percent)
+            centres = chosen["name"].to_numpy()[kept]
         else:
             centres, everyone = np.zeros(0, np.int64), np.arange(len(some))
             own = Voronoi((everyone[:0], everyone[:0]), everyone, np.full(len(some), -1), np.zeros(len(some), bool))
