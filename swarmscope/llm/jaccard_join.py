@@ -43,7 +43,7 @@ from swarmscope.llm.stretches import ragged
 
 COUNTS = 64
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
-CELL = 4096  # sets that meet by one shingle in one place
+CELL = 1 << 16  # sets that meet by one shingle in one place
 CROWD = 64  # sets of a cell from which on it is not compared pair by pair
 SMALL = 12  # sets of a region inside a task that are compared set by set
 PIVOTS = 32  # drawn for a region inside a task, and four times as many wherever they tell too little apart
@@ -433,6 +433,7 @@ def region_links(sets: list[np.ndarray], tied: np.ndarray, percent: int) -> tupl
     n = np.array([len(s) for s in sets], np.int64)
     group = np.where(tied, -1, np.arange(len(sets)))  # equal for sets that are connected
     found: list[tuple[int, int]] = []
+    unlike: set[tuple[int, int]] = set()
 
     def link(x: int, y: int) -> None:
         if group[x] != group[y]:
@@ -449,27 +450,51 @@ def region_links(sets: list[np.ndarray], tied: np.ndarray, percent: int) -> tupl
                 if 100 * common >= percent * (n[x] + n[y] - common):
                     link(x, y)
 
+    def meet(some: np.ndarray) -> None:
+        """What pivots do not tell apart: sets that are not connected and share one of the shingles that are rarest here."""
+        keys = np.concatenate([sets[x] for x in some.tolist()])
+        owner = np.repeat(some, n[some])
+        _, which, many = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.lexsort((which, many[which], owner))
+        owner, which = owner[order], which[order]
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        size = n[owner]
+        place = np.arange(len(owner)) - np.repeat(heads, np.diff(np.append(heads, len(owner))))
+        first = place < size - at_least(size, percent) + 1
+        owner, which = owner[first], which[first]
+        order = np.argsort(which, kind="stable")
+        owner, which = owner[order], which[order]
+        heads = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        labels = group[owner]
+        mixed = np.flatnonzero(np.minimum.reduceat(labels, heads) != np.maximum.reduceat(labels, heads))
+        ends = np.append(heads, len(owner))
+        for i, j in zip(ends[mixed].tolist(), ends[mixed + 1].tolist(), strict=True):
+            own = owner[i:j]
+            for k, x in enumerate(own.tolist()):
+                rest = own[k + 1 :]
+                for y in rest[(group[rest] != group[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))].tolist():
+                    pair = (x, y) if x < y else (y, x)
+                    if pair not in unlike and group[x] != group[y]:
+                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * common >= percent * (n[x] + n[y] - common):
+                            link(x, y)
+                        else:
+                            unlike.add(pair)
+
     def join(some: np.ndarray, pivots: int) -> None:
         if len(some) < 2 or (group[some] == group[some[0]]).all():
             return
         if len(some) <= SMALL:
             return compare(some)
-        every = pivots >= len(some)  # then the distances to pivots are all there are
-        chosen = some if every else some[:: -(-len(some) // pivots)]
-        if not every:
-            chosen = chosen[thinned([sets[x] for x in chosen.tolist()], percent)]
-        if every:
-            # all sets but the largest connected group's meet all
-            labels, size = np.unique(group[some], return_counts=True)
-            some = some[group[some] != labels[size.argmax()]]
+        if pivots >= len(some):
+            return meet(some)
+        chosen = some[:: -(-len(some) // pivots)]
+        chosen = chosen[thinned([sets[x] for x in chosen.tolist()], percent)]
         own = voronoi([sets[x] for x in some.tolist()], Pivots.of([sets[x] for x in chosen.tolist()]), percent)
         for x, p in zip(*own.linked, strict=True):
             link(int(some[x]), int(chosen[p]))
-        if every:
-            return
         if len(own.member) > 2 * len(some):
-            # too many at borders: all distances are less work than the regions' own
-            return join(some, len(some))
+            return meet(some)  # too many at borders
         order = np.argsort(own.region, kind="stable")
         ends = np.searchsorted(own.region[order], np.arange(-1, len(chosen) + 1))
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
