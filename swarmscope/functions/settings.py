@@ -12,7 +12,6 @@ ZERO_CONCENTRATION = "000 xanthan"
 #: Concentration labels in percent by weight. Fixed values.
 WEIGHT_PERCENT = {"000 xanthan": "0.00", "0125 xanthan": "0.125", "025 xanthan": "0.25"}
 #: Concentrations in evaluation file names. Fixed values.
-NAME_CONCENTRATION = {"0-00": "0.00", "0-125": "0.125", "0-25": "0.25"}
 _SETTING = r"^(.*?\brpm)\s+(.*?\blmin)\s*(.*)$"
 
 
@@ -46,14 +45,14 @@ def is_zero_concentration(setting: str | Column) -> Column:
 
 
 def file_metadata(df: DataFrame, name: str = "filename") -> DataFrame:
-    """Adds placement (int), xanthan (text, ``unknown`` if absent), rpm and lmin (ints) parsed from a file name."""
+    """Adds placement (``place_<n>``), xanthan (a share in per cent), both ``unknown`` if absent, rpm and lmin (ints)."""
+    # fixed values: the patterns that file names follow
     find = lambda p, i=1: F.nullif(F.regexp_extract(name, "(?i)" + p, i), F.lit(""))
-    whole, decimals = find(r"(\d+)-(\d+)-xanthan"), find(r"(\d+)-(\d+)-xanthan", 2)
-    known = F.create_map(*[F.lit(x) for kv in NAME_CONCENTRATION.items() for x in kv])
-    value = F.concat(whole, F.lit("."), decimals)
-    other = F.format_string("%.3f", value.cast("double"))
-    xanthan = F.when(whole.isNull(), "unknown").otherwise(F.coalesce(F.try_element_at(known, F.concat_ws("-", whole, decimals)), other))
-    return df.withColumns({"placement": find(r"place(?:ment)?[_-]?(\d+)").cast("int"), "xanthan": xanthan, "rpm": find(r"(\d+)[_-]?rpm").cast("int"), "lmin": find(r"(\d+)[_-]?l[_-]?min").cast("int")})
+    share = F.concat(find(r"(\d+)-(\d+)-xanthan"), F.lit("."), find(r"(\d+)-(\d+)-xanthan", 2)).cast("double")
+    xanthan = F.when(share == 0, "0.00").when(share == 0.25, "0.25").otherwise(F.format_string("%.3f", share))
+    place = F.concat(F.lit("place_"), find(r"place(?:ment)?[_-]?(\d+)"))
+    unknown = F.lit("unknown")
+    return df.withColumns({"placement": F.coalesce(place, unknown), "xanthan": F.when(share.isNull(), unknown).otherwise(xanthan), "rpm": find(r"(\d+)[_-]?rpm").cast("int"), "lmin": find(r"(\d+)[_-]?l[_-]?min").cast("int")})
 
 
 def legacy_file_parts(df: DataFrame, name: str = "filename") -> DataFrame:

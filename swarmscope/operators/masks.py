@@ -49,25 +49,26 @@ def principal_axis(points: DataFrame) -> DataFrame:
 
 
 def split_fit(points: DataFrame, mm_per_px: float, band: float = 0.15) -> DataFrame:
-    """Full axis a and half widths b1 <= b2 of the halves on both sides of the centre, in mm.
+    """Centre, angle, full axis a and half widths in mm: b1 of the front, b2 of the rear, on the axis' positive and negative side.
 
-    A half's width is the largest distance from the axis within ``band`` of a around its middle, else the 75th
-    percentile over the half; null if there is neither. Shapes of under five points have no fit.
+    A width is the largest distance from the axis within ``band`` of a around half the extreme, seen from the centre of the
+    contour. If either part has no point there, both are 75th percentiles over the halves. Under five points have no fit.
     """
     about = principal_axis(points).where("n >= 5")
     turned = points.join(about, KEYS).withColumn("t", F.radians("angle_deg"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    turned = turned.select(*KEYS, (dx * F.cos("t") + dy * F.sin("t")).alias("u"), F.abs(dy * F.cos("t") - dx * F.sin("t")).alias("v"))
+    fit = ["cx", "cy", "angle_deg"]
+    turned = turned.select(*KEYS, *fit, (dx * F.cos("t") + dy * F.sin("t")).alias("u"), F.abs(dy * F.cos("t") - dx * F.sin("t")).alias("v"))
     ends = turned.groupBy(*KEYS).agg(F.min("u").alias("low"), F.max("u").alias("high"))
-    split = turned.join(ends, KEYS).withColumns({"a": F.col("high") - F.col("low"), "middle": (F.col("low") + F.col("high")) / 2})
-
-    def half(sign: int) -> Column:
-        side = (F.col("u") - F.col("middle")) * sign >= 0
-        near = side & (F.abs((F.col("u") - F.col("middle")) * sign - F.col("a") / 4) <= band * F.col("a"))
-        return F.coalesce(F.max(F.when(near, F.col("v"))), F.percentile(F.when(side, F.col("v")), 0.75)) * mm_per_px
-
-    fitted = split.groupBy(*KEYS).agg((F.first("a") * mm_per_px).alias("a_mm"), half(-1).alias("h1"), half(1).alias("h2"))
-    return fitted.select(*KEYS, "a_mm", F.least("h1", "h2").alias("b1_mm"), F.greatest("h1", "h2").alias("b2_mm"))
+    split = turned.join(ends, KEYS).withColumn("a", F.col("high") - F.col("low"))
+    near = lambda end: F.max(F.when(F.abs(F.col("u") - F.col(end) / 2) < band * F.col("a") - 1e-9, F.col("v")))
+    most = lambda side: F.percentile(F.when(side, F.col("v")), 0.75)
+    fitted = split.groupBy(*KEYS).agg(
+        *[F.first(c).alias(c) for c in (*fit, "a")], near("high").alias("front"), near("low").alias("rear"), most(F.col("u") >= 0).alias("q_front"), most(F.col("u") < 0).alias("q_rear")
+    )
+    missing = F.col("front").isNull() | F.col("rear").isNull()
+    width = lambda c: (F.when(missing, F.coalesce(f"q_{c}", c)).otherwise(F.col(c)) * mm_per_px)
+    return fitted.select(*KEYS, *fit, (F.col("a") * mm_per_px).alias("a_mm"), width("front").alias("b1_mm"), width("rear").alias("b2_mm"))
 
 
 def mask_iou(left: DataFrame, right: DataFrame) -> DataFrame:

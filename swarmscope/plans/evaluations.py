@@ -92,11 +92,14 @@ def a25_principal_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(POINTS + f""", u AS (SELECT p.image, p.inst, (x - cx) * cos(radians(t)) + (y - cy) * sin(radians(t)) AS u, abs((y - cy) * cos(radians(t)) - (x - cx) * sin(radians(t))) AS v FROM points p JOIN axis a USING (image, inst) WHERE n >= 5),
-s AS (SELECT *, max(u) OVER w - min(u) OVER w AS a, (max(u) OVER w + min(u) OVER w) / 2 AS middle FROM u WINDOW w AS (PARTITION BY image, inst)),
-h AS (SELECT image, inst, any_value(a) AS a, coalesce(max(v) FILTER (u <= middle AND abs(middle - u - a / 4) <= 0.15 * a), quantile_cont(v, 0.75) FILTER (u <= middle)) AS h1, coalesce(max(v) FILTER (u >= middle AND abs(u - middle - a / 4) <= 0.15 * a), quantile_cont(v, 0.75) FILTER (u >= middle)) AS h2 FROM s GROUP BY image, inst)
+s AS (SELECT *, max(u) OVER w AS high, min(u) OVER w AS low FROM u WINDOW w AS (PARTITION BY image, inst)),
+n AS (SELECT image, inst, any_value(high - low) AS a, max(v) FILTER (abs(u - high / 2) < 0.15 * (high - low) - 1e-9) AS f, max(v) FILTER (abs(u - low / 2) < 0.15 * (high - low) - 1e-9) AS r, quantile_cont(v, 0.75) FILTER (u >= 0) AS qf, quantile_cont(v, 0.75) FILTER (u < 0) AS qr FROM s GROUP BY image, inst),
+h AS (SELECT image, inst, a, CASE WHEN f IS NULL OR r IS NULL THEN coalesce(qf, f) ELSE f END AS h1, CASE WHEN f IS NULL OR r IS NULL THEN coalesce(qr, r) ELSE r END AS h2 FROM n)
 SELECT image, inst, round(a * {PX}, 3) AS a_mm, round(least(h1, h2) * {PX}, 3) AS b1_mm, round(greatest(h1, h2) * {PX}, 3) AS b2_mm FROM h""")
 def a26_half_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(masks.split_fit(masks.contour(masks.ellipse_runs(ellipses(spark, sf_dir))), DEFAULT.mm_per_px), 3)
+    fit = masks.split_fit(masks.contour(masks.ellipse_runs(ellipses(spark, sf_dir))), DEFAULT.mm_per_px)
+    # which half is in front hangs on the sign of an angle of nearly 0
+    return rounded(fit.select("image", "inst", "a_mm", F.least("b1_mm", "b2_mm").alias("b1_mm"), F.greatest("b1_mm", "b2_mm").alias("b2_mm")), 3)
 
 
 @query(E + ", " + runs_sql("moved", True) + """, common AS (SELECT p.image, p.inst AS pred, g.inst AS gt, sum(greatest(0, least(p.x1, g.x1) - greatest(p.x0, g.x0))) AS common FROM runs p JOIN moved g ON p.image = g.image AND p.y = g.y GROUP BY ALL),
@@ -121,10 +124,12 @@ def g08_near_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOX_POLYGON = ["array(struct(x1 as x, y1 as y), struct(x2 as x, y1 as y), struct(x2 as x, y2 as y), struct(x1 as x, y2 as y)) as polygon"]
 
 
-@query("WITH " + BOXES + ", c AS (SELECT image, gt AS inst, CAST(trunc(x1) AS INT) AS x0, CAST(trunc(x2) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y0, CAST(trunc(y2) AS INT) AS y1 FROM truth WHERE image % 50 = 0) SELECT image, inst, CAST(unnest(range(y0, y1)) AS INT) AS y, x0, x1 FROM c")
+@query("WITH " + BOXES + ", c AS (SELECT image, gt AS inst, CAST(trunc(x1) AS INT) AS x0, CAST(trunc(x2) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y0, CAST(trunc(y2) AS INT) AS y1 FROM truth), r AS (SELECT image, inst, unnest(range(y0, y1)) AS y, x0, x1 FROM c) SELECT image, inst, CAST(count(*) AS BIGINT) AS runs, CAST(sum(x1 - x0) AS BIGINT) AS area, CAST(sum(y * x0) AS BIGINT) AS left_edge, CAST(sum(y * x1) AS BIGINT) AS right_edge FROM r GROUP BY image, inst")
 def g17_polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = truth(spark, sf_dir).selectExpr("image", "gt as inst", *BOX_POLYGON)
-    return masks.polygon_runs(polygons)
+    span = F.col("x1") - F.col("x0")
+    sums = [F.count("*").alias("runs"), F.sum(span).alias("area"), F.sum(F.col("y") * F.col("x0")).alias("left_edge"), F.sum(F.col("y") * F.col("x1")).alias("right_edge")]
+    return masks.polygon_runs(polygons).groupBy("image", "inst").agg(*sums)
 
 
 @query("WITH n(text) AS (VALUES ('1.5'), ('x'), (''), ('-3e2'), (NULL), ('100 rpm')) SELECT text, TRY_CAST(text AS DOUBLE) AS number FROM n")
@@ -228,9 +233,18 @@ def a17_size_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.size_recall(truth(spark, sf_dir).join(hit, ["image", "gt"], "left").fillna(0, ["found"])))
 
 
-# the SQL's true positives are by a rule without state, which may count a truth more than once; the queries match one to one
-RULED = P + ", " + LEVELS + """, best AS (SELECT image, pred, max(iou) AS iou FROM pairs GROUP BY ALL),
-flags AS (SELECT threshold, image, pred, score, CASE WHEN coalesce(b.iou, 0) >= threshold THEN 1 ELSE 0 END AS tp FROM predictions LEFT JOIN best b USING (image, pred) CROSS JOIN levels),
+# the chain of steps of each image, at each threshold
+RULED = "WITH RECURSIVE " + PAIRS + ", " + LEVELS + """,
+turns AS (SELECT image, pred, score, row_number() OVER (PARTITION BY image ORDER BY score DESC, pred) AS turn FROM predictions),
+options AS (SELECT threshold, image, pred, list(gt ORDER BY iou DESC, gt) AS options FROM pairs JOIN levels ON iou >= threshold GROUP BY ALL),
+todo AS (SELECT l.threshold, t.*, coalesce(o.options, []) AS options FROM turns t CROSS JOIN levels l LEFT JOIN options o ON o.image = t.image AND o.pred = t.pred AND o.threshold = l.threshold),
+steps AS (
+  SELECT threshold, image, turn, pred, score, options[1] AS gt, CASE WHEN len(options) > 0 THEN [options[1]] ELSE []::BIGINT[] END AS used FROM todo WHERE turn = 1
+  UNION ALL
+  SELECT t.threshold, t.image, t.turn, t.pred, t.score, list_filter(t.options, lambda x: NOT list_contains(s.used, x))[1],
+         CASE WHEN len(list_filter(t.options, lambda x: NOT list_contains(s.used, x))) > 0 THEN list_append(s.used, list_filter(t.options, lambda x: NOT list_contains(s.used, x))[1]) ELSE s.used END
+  FROM steps s JOIN todo t ON t.threshold = s.threshold AND t.image = s.image AND t.turn = s.turn + 1),
+flags AS (SELECT threshold, image, pred, score, CASE WHEN gt IS NULL THEN 0 ELSE 1 END AS tp FROM steps),
 curve AS (SELECT *, row_number() OVER w AS rank, sum(tp) OVER w AS tps FROM flags WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, image, pred ROWS UNBOUNDED PRECEDING)),
 rates AS (SELECT *, tps / rank AS precision, tps / (SELECT count(*) FROM truth) AS recall FROM curve),
 enveloped AS (SELECT *, max(precision) OVER (PARTITION BY threshold ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM rates)"""
@@ -276,7 +290,8 @@ def a18_image_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = matches(spark, sf_dir).select("image", "pred", "score", F.when(F.col("gt").isNotNull(), 1).otherwise(0).alias("tp"))
     n = truth(spark, sf_dir).groupBy("image").agg(F.count("*").alias("n_gt"))
     curve = evaluation.precision_recall(flagged.join(n, "image"), F.col("n_gt"), ["image"])
-    return rounded(n.join(evaluation.average_precision(curve, ["image"]), "image", "left").select("image", F.coalesce("ap", F.lit(0.0)).alias("ap")))
+    every = n.select("image").union(flagged.select("image")).distinct()
+    return rounded(every.join(evaluation.average_precision(curve, ["image"]), "image", "left").select("image", F.coalesce("ap", F.lit(0.0)).alias("ap")))
 
 
 query(GREEDY + """, n AS (SELECT image, count(*) AS n_gt FROM truth GROUP BY image),

@@ -90,7 +90,7 @@ def runs_sql(name: str, shifted: bool = False) -> str:
     )
 
 
-ELLIPSES = BOXES + ",\nellipses AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ELLIPSE.items()) + " FROM numbered WHERE l_orderkey % 20 = 0),\n" + runs_sql("runs")
+ELLIPSES = BOXES + ",\nellipses AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ELLIPSE.items()) + " FROM numbered),\n" + runs_sql("runs")
 
 _FLOW = {"series": "concat('series_', cast(o_custkey % 4 as string))", "shear_rate": "cast(1 + o_orderkey % 300 as double)"}
 _STRESS = "(cast(0.2 as double) + cast(0.1 as double) * (o_custkey % 4)) * pow(cast(1 + o_orderkey % 300 as double), cast(0.4 as double) + cast(0.1 as double) * (o_custkey % 4)) * (1 + (o_totalprice - floor(o_totalprice)) * cast(0.01 as double))"

@@ -49,7 +49,7 @@ def s08_tuple_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return where_all(bubbles(spark, sf_dir), filters).select("placement", "replicate", "model_used", "equivalent_diameter_mm")
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS filename FROM pages WHERE regexp_matches(lower(url), '\\.(jpg|jpeg|png|html)$') OR page_id % 7 = 0""")
+@query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS filename FROM pages WHERE regexp_matches(lower(url), '\\.(jpg|jpeg|png|html)$')""")
 def s02_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.where(S.extension("url").isin(".jpg", ".jpeg", ".png", ".html")).select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("filename"))
@@ -74,13 +74,13 @@ def f01_parse_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_setting_numbers(S.parse_setting(bubbles(spark, sf_dir).select("reactor_setting").distinct()))
 
 
-FILES = ["place_3_0-00-xanthan_100_rpm_55_l_min_a.jpg", "Placement-12-0-125-xanthan-75rpm-90lmin.png", "x_1-5-xanthan_125-rpm_45-l-min.jpg", "nothing.jpg", "PLACEMENT7_0-25-XANTHAN_150RPM_70LMIN.jpeg"]
+FILES = ["place_3_0-00-xanthan_100_rpm_55_l_min_a.jpg", "Placement-12-0-125-xanthan-75rpm-90lmin.png", "x_1-5-xanthan_125-rpm_45-l-min.jpg", "nothing.jpg", "place-2_0-0-xanthan_75rpm.png", "p_0-250-xanthan_90-lmin.png", "PLACEMENT7_0-25-XANTHAN_150RPM_70LMIN.jpeg"]
 FILE_VALUES = "files(filename) AS (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ")"
 
 
 @query("WITH " + FILE_VALUES + r""", parts AS (SELECT filename, nullif(regexp_extract(filename, '(?i)(\d+)-(\d+)-xanthan', 1), '') AS w, nullif(regexp_extract(filename, '(?i)(\d+)-(\d+)-xanthan', 2), '') AS d FROM files)
-SELECT filename, TRY_CAST(nullif(regexp_extract(filename, '(?i)place(?:ment)?[_-]?(\d+)', 1), '') AS INT) AS placement,
-CASE WHEN w IS NULL THEN 'unknown' WHEN w = '0' AND d = '00' THEN '0.00' WHEN w = '0' AND d = '125' THEN '0.125' WHEN w = '0' AND d = '25' THEN '0.25' ELSE printf('%.3f', CAST(w || '.' || d AS DOUBLE)) END AS xanthan,
+SELECT filename, coalesce('place_' || nullif(regexp_extract(filename, '(?i)place(?:ment)?[_-]?(\d+)', 1), ''), 'unknown') AS placement,
+CASE WHEN w IS NULL THEN 'unknown' WHEN CAST(w || '.' || d AS DOUBLE) = 0 THEN '0.00' WHEN CAST(w || '.' || d AS DOUBLE) = 0.125 THEN '0.125' WHEN CAST(w || '.' || d AS DOUBLE) = 0.25 THEN '0.25' ELSE printf('%.3f', CAST(w || '.' || d AS DOUBLE)) END AS xanthan,
 TRY_CAST(nullif(regexp_extract(filename, '(?i)(\d+)[_-]?rpm', 1), '') AS INT) AS rpm, TRY_CAST(nullif(regexp_extract(filename, '(?i)(\d+)[_-]?l[_-]?min', 1), '') AS INT) AS lmin FROM parts""")
 def f03_parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.file_metadata(spark.createDataFrame([(f,) for f in FILES], "filename string"))
@@ -110,7 +110,7 @@ def w01_frame_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.frame_ordinals(names(spark, sf_dir))
 
 
-@query(W + ", " + ORDINALS + " SELECT placement, reactor_setting, replicate, filename, frame_no FROM ordered WHERE replicate = 'rep_1'")
+@query(W + ", " + ORDINALS + " SELECT placement, reactor_setting, replicate, filename, frame_no FROM ordered")
 def t01_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.frame_ordinals(names(spark, sf_dir))
 

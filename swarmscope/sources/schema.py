@@ -18,5 +18,5 @@ BUBBLE = T.StructType(
 )
 KEYS = ["placement", "reactor_setting", "replicate", "burst_index", "image_number_in_burst"]
 RENAMED = {"d_mm_chosen": "equivalent_diameter_mm", "volume_mm3_chosen": "bubble_volume_mm3", "surface_area_mm2_chosen": "bubble_surface_area_mm2"}
-#: In memory only; never stored.
-TRANSIENT = ["mask", "contour", "overlay", "has_overlay", "fit_overlay", "image_path", "fit_debug", "ellipse"]
+#: In memory only; never stored. Fixed values from "image_path" on: settings of a run and notes of its processing.
+TRANSIENT = ["mask", "contour", "overlay", "fit_overlay", "fit_debug", "ellipse", "image_path", "conf_thresh", "iou_thresh", "mask_binarize_thr", "img_w", "img_h", "has_overlay", "aspect_method"]
