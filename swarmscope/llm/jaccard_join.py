@@ -408,7 +408,8 @@ def thinned(pivots: list[np.ndarray], percent: int) -> list[int]:
 
 def voronoi(sets: list[np.ndarray], pivots: Pivots, percent: int) -> Voronoi:
     e, sure = 1 - percent / 100, 1e-9
-    parts = []
+    nothing = np.zeros(0, np.int64)
+    parts = [(nothing, nothing, nothing, nothing, np.zeros(0, bool))]  # a block may have no sets
     for i in range(0, len(sets), 512):
         common, union = apart_of(sets[i : i + 512], pivots)
         ball = 100 * common >= percent * union
