@@ -21,6 +21,15 @@ def histogram(df: DataFrame, value: str, keys: list[str], low: float, high: floa
     return counted.select(*keys, "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).alias("frequency"))
 
 
+def every_bin(counted: DataFrame, keys: list[str], low: float, high: float, bins: int = 80) -> DataFrame:
+    """A ``histogram`` with its edges and with the bins that hold nothing, of each group that holds any."""
+    value = next(c for c in counted.columns if c not in (*keys, "bin"))
+    width = (float(high) - float(low)) / bins
+    grid = counted.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    known = grid.join(counted, [*keys, "bin"], "left")
+    return known.select(*keys, "bin", (F.lit(float(low)) + F.col("bin") * width).alias("bin_low"), (F.lit(float(low)) + (F.col("bin") + 1) * width).alias("bin_high"), F.coalesce(F.col(value), F.lit(0)).alias(value))
+
+
 def distribution_stats(df: DataFrame, value: str, keys: list[str], with_replicate: bool = False) -> DataFrame:
     """Range, mean and number of values, distinct frames, and bubbles a frame.
 

@@ -5,6 +5,7 @@ Predictions: image, pred, score, x1, y1, x2, y2. Ground truth: image, gt, x1, y1
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +31,10 @@ def top_detections(predictions: DataFrame, most: int = 2500) -> DataFrame:
     return predictions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def iou_pairs(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    g = truth.select("image", "gt", *[F.col(c).alias(f"g_{c}") for c in BOX])
-    iou = box_iou({c: F.col(c) for c in BOX}, {c: F.col(f"g_{c}") for c in BOX})
+def iou_pairs(predictions: DataFrame, truth: DataFrame, overlap: Callable[[dict[str, Column], dict[str, Column]], Column] = box_iou, shape: tuple[str, ...] = BOX) -> DataFrame:
+    """Pairs of an image with an overlap above 0. ``overlap`` makes it of both sides' ``shape`` columns, by name."""
+    g = truth.select("image", "gt", *[F.col(c).alias(f"g_{c}") for c in shape])
+    iou = overlap({c: F.col(c) for c in shape}, {c: F.col(f"g_{c}") for c in shape})
     return predictions.join(g, "image").select("image", "pred", "score", "gt", iou.alias("iou")).where("iou > 0")
 
 

@@ -38,6 +38,12 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
     return tree_parts(found).where("length > 0").select("placement", "reactor_setting", "replicate", "filename", "path", "modificationTime", "length", "content")
 
 
+def list_split(spark: SparkSession, folder: str) -> DataFrame:
+    """path and filename of the pictures (jpg and png) right in a split's folder, by path; their bytes are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(folder)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename")).orderBy("path")
+
+
 def scan_decoded(spark: SparkSession, root: str) -> DataFrame:
     """Decoded pictures; unreadable ones and those that are all zero are left out."""
     found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,12 +19,16 @@ def stream_bubbles(spark: SparkSession, path: str, schema: T.StructType = BUBBLE
 
 
 def ingest(source: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append what came since the last run, and stop."""
+    """Append what came since the last run, and stop.
+
+    Each batch of a checkpoint has a folder of its own, written whole, so that one that is run again replaces its rows.
+    """
+    run = sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def append(batch: DataFrame, _: int) -> None:
-        write_bubbles(batch, target)
+    def replace(batch: DataFrame, number: int) -> None:
+        write_bubbles(batch, f"{target}/part_batch={run}-{number}", "overwrite")
 
-    return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_rollup(source: DataFrame, name: str, checkpoint: str, keys: list[str] = SETTING_KEYS, columns: dict[str, str] = MEASURES) -> StreamingQuery:

@@ -185,3 +185,21 @@ def test_power_law(spark):
     assert len(fit) == 1 and fit[0]["k"] == pytest.approx(0.37, rel=1e-8) and fit[0]["n"] == pytest.approx(0.42, rel=1e-8) and fit[0]["k_err"] < 1e-6
     curve = rheology.power_law_curve(rheology.power_law_fit(df)).orderBy("i").collect()
     assert len(curve) == 500 and curve[0]["shear_rate"] == 0.5 and curve[-1]["shear_rate"] == pytest.approx(340)
+
+
+def test_every_bin(spark):
+    x = [0.0, 0.1, 2.0, 2.5, 5.0]
+    counted = distribution.histogram(spark.createDataFrame([("k", v) for v in x], "k string, x double"), "x", ["k"], 0, 5, 10)
+    out = distribution.every_bin(counted, ["k"], 0, 5, 10).orderBy("bin").collect()
+    want, edges = np.histogram(x, 10, (0, 5))
+    assert [r["n"] for r in out] == want.tolist()
+    assert np.allclose([(r["bin_low"], r["bin_high"]) for r in out], np.stack([edges[:-1], edges[1:]], axis=1))
+
+
+def test_other_overlap(spark):
+    spans = "image long, pred long, score double, low double, high double"
+    p = spark.createDataFrame([(1, 0, 0.9, 0.0, 4.0), (1, 1, 0.8, 9.0, 10.0)], spans)
+    t = spark.createDataFrame([(1, 0, 2.0, 6.0)], "image long, gt long, low double, high double")
+    common = lambda a, b: F.greatest(F.lit(0.0), F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"])) / 6
+    found = evaluation.iou_pairs(p, t, common, ("low", "high")).collect()
+    assert [(r["pred"], r["gt"]) for r in found] == [(0, 0)] and found[0]["iou"] == pytest.approx(1 / 3)

@@ -130,6 +130,19 @@ def test_incremental_ingest(spark, tmp_path):
     rows(spark, replicate="rep 2", n=2).write.mode("append").parquet(source)
     ingest(stream_bubbles(spark, source), target, checkpoint).awaitTermination()
     assert bubbles.scan_bubbles(spark, target).count() == 5
+    # a batch that failed after its rows were written is run again, and replaces them
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    ingest(stream_bubbles(spark, source), target, checkpoint).awaitTermination()
+    assert bubbles.scan_bubbles(spark, target).count() == 5
     table = stream_bubbles(spark, source).withColumnsRenamed({"d_mm_chosen": "equivalent_diameter_mm", "volume_mm3_chosen": "bubble_volume_mm3", "surface_area_mm2_chosen": "bubble_surface_area_mm2"})
     running_rollup(table, "rolled", str(tmp_path / "check2")).awaitTermination()
     assert spark.table("rolled").first()["n_total"] == 5
+
+
+def test_split_listing(spark, tmp_path):
+    for name in ("b.jpg", "a.png", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "d.jpg").write_bytes(b"x")
+    assert [r["filename"] for r in images.list_split(spark, str(tmp_path)).collect()] == ["a.png", "b.jpg"]
