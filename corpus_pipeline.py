@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmscope.llm import jaccard_join, lang_id, mixing, packing, quality
+from swarmscope.llm.membership import parted, unused
 from swarmscope.llm.queries import QUALITY_LEAST, remainder
 from swarmscope.llm.storage import drop, save
 
@@ -18,13 +19,6 @@ SURE_LANGUAGE = 0.5
 SHINGLE, SIMILAR = 5, 80
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
-    return name
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the operator's threshold go."""
     voter = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
@@ -49,15 +43,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = save(jaccard_join.classes_of(docs.select("doc_id", "text"), SHINGLE, SIMILAR), "dedup-rows")
     documents = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("component").alias("component"), F.count("*").alias("copies"))
     documents = save(documents, "dedup-documents")
-    least = documents.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays")).select("stays.*")
-    gone = save(documents.where("component IS NOT NULL").select("doc_id", "text_hash").join(least, ["doc_id", "text_hash"], "left_anti").toDF("gone_id", "gone_hash"), "dedup-gone")
-    again = save(documents.where("copies > 1").select("doc_id", "text_hash").join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti").toDF("again_id", "again_hash"), "dedup-again")
     drop(rows)
-    same = lambda other: (docs["doc_id"] == F.col(f"{other}_id")) & (F.xxhash64(docs["text"]) == F.col(f"{other}_hash"))
-    kept = docs.join(gone, same("gone"), "left_anti")
+    key = ["doc_id", "text_hash"]
+    least = documents.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*key)).alias("stays")).select("stays.*")
+    gone = save(documents.where("component IS NOT NULL").select(key).join(least, key, "left_anti"), "dedup-gone")
+    stay = save(documents.select(*key, "copies").join(gone, key, "left_anti"), "dedup-stay")
+    drop(documents)
+    own = [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    again, once = stay.where("copies > 1").select(key), stay.where("copies = 1").select(key)
     if again.isEmpty():
-        return kept
-    return kept.join(again, same("again"), "left_anti").union(docs.join(again, same("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        return parted(docs, own, gone, once)[0]
+    kept = parted(docs, own, gone.union(again), once)[0]
+    repeated = parted(docs, own, again, gone.union(once))[1]
+    return kept.union(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
