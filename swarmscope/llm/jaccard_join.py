@@ -5,8 +5,9 @@ The distance of two sets is one minus their Jaccard similarity, a metric. With a
 1. Documents with equal sets collapse to one set, named by a 64-bit hash.
 2. Root regions. Almost all pairs of texts are at distance exactly 1, where no pivot can tell them apart, so the space is
    first cut where distances are 1 or nearly so. Shingles are ordered, frequent ones last; two sets within e share one of
-   their first n - ceil(.85 n) + 1 shingles. Sets that share such a shingle meet with sketches (counts of hashed
-   shingles); sizes, positions and sketches tell which may be within e. A bucket returns a spanning forest of that graph,
+   their first n - ceil(.85 n) + 1 shingles. Most such shingles are in one set only, which a bit filter of bounded size
+   leaves out. Sets that share one meet in buckets, with sketches (counts of hashed shingles); sizes, positions and
+   sketches tell which may be within e. A bucket, bounded in postings and bytes, returns a spanning forest of that graph,
    never its pairs. Its connected components are the root regions: sets of different ones are farther apart than e.
 3. Regions join recursively. A region that is too full for a task gets pivots from its own sets. Each set's distances to
    the pivots, which are more than 2 e apart, are exact. A set within e of a pivot is linked with it. Each set's home is its nearest pivot's region, or,
@@ -37,19 +38,22 @@ from pyspark.sql import functions as F
 
 from swarmscope.llm import words as W
 from swarmscope.llm.components import components, forest
-from swarmscope.llm.memory import lean, lean_group, lean_pair
-from swarmscope.llm.storage import drop, save
+from swarmscope.llm.memory import lean, lean_group, lean_key, lean_pair
+from swarmscope.llm.storage import drop, save, shuffles_end
 from swarmscope.llm.stretches import ragged
 
 COUNTS = 64
 FREQUENT = 1 << 18  # a shingle is frequent above this part of all shingles, so that fewer than this many are
 CELL = 1 << 16  # sets that meet by one shingle in one place
+BUCKET_BYTES = 1 << 26  # of a bucket unpacked; a bucket is a task's
+POSTED = 1 << 10, 1 << 20  # shingles whose postings are packed together: so many for each bucket, and at most
 CROWD = 64  # sets of a cell from which on it is not compared pair by pair
 SMALL = 12  # sets of a region inside a task that are compared set by set
 PIVOTS = 32  # drawn for a region inside a task, and four times as many wherever they tell too little apart
 DRAWN = 1024  # pivots drawn for a region that is split over tasks, at most
 LEVELS = 4
 FILTER_BITS = 1 << 20, 1 << 28
+CELLS = 1 << 21  # cells that a task counts
 
 
 def name_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -96,6 +100,11 @@ class Order:
     buckets: int
     frequent: np.ndarray  # sorted
     frequency: np.ndarray
+    shared: np.ndarray | None = None  # bits: cells of one posting are not in it, and are not posted
+
+
+def in_filter(cell: np.ndarray, bits: int) -> np.ndarray:
+    return (cell & np.uint64(bits - 1)).astype(np.int64)
 
 
 def described_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -124,31 +133,47 @@ def described_sets(docs: DataFrame, width: int) -> DataFrame:
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(described), "doc_id long, text_hash long, n_shingles long, name long, shingle long, n long"), "shingle-sets")
 
 
-def order_of(described: DataFrame, width: int, percent: int, bucket_postings: int) -> Order:
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+def bucket_count(sizes: list[tuple[int, int, int]], percent: int, bucket_postings: int, share: float = 1.0) -> int:
+    """Buckets that hold at most ``bucket_postings`` and BUCKET_BYTES each, about. ``sizes``: sets, their shingles, and
+    the largest, by classes of size; ``share``: of the postings that are posted. The more buckets, the more of them a
+    set's sketch goes to, up to one a posting."""
+    total = sum(n for _, n, _ in sizes)
+    buckets = max(1, -(-int(total * share * (101 - percent)) // 100 // bucket_postings))
+    while True:
+        full = 0.0
+        for sets, n, most in sizes:
+            length = share * (n / sets * (101 - percent) / 100 + 1)
+            full += sets * (16 * length + min(length, buckets) * (16 + (COUNTS << int(class_of(np.array([most]))[0]))))
+        if full <= buckets * BUCKET_BYTES:
+            return buckets
+        buckets = int(full // BUCKET_BYTES) + 1
+
+
+def order_of(described: DataFrame, width: int, percent: int, bucket_postings: int, docs: DataFrame | None = None) -> Order:
+    """With ``docs``, cells of one posting are left out."""
+    by_size = described.where("n_shingles > 0").groupBy(F.floor(F.log2("n_shingles"))).agg(F.count("*"), F.sum("n_shingles"), F.max("n_shingles"))
+    sizes = [tuple(r)[1:] for r in by_size.collect()]  # a row for each doubling
+    total = sum(n for _, n, _ in sizes)
     common = described.where("n > 0").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1 + total / FREQUENT).toPandas()
     common = common.assign(key=common["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-    buckets = max(1, -(-total * (101 - percent) // 100 // bucket_postings))
-    return Order(width, percent, int(buckets), common["key"].to_numpy(np.uint64), common["n"].to_numpy(np.int64))
+    order = Order(width, percent, 1, common["key"].to_numpy(np.uint64), common["n"].to_numpy(np.int64))
+    share = 1.0
+    if docs is not None:
+        order.shared, share = shared_cells(docs, order, total * (101 - percent) // 100 + 1)
+    order.buckets = bucket_count(sizes, percent, bucket_postings, share)
+    return order
 
 
-def postings(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed postings and, once each, the sets they are of)."""
+def cells_of(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each posting's set, its place in the set, and its cell."""
     n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    # counts by a set's size; 255 stands for 255 and more
-    wide = COUNTS << class_of(n)
-    wide_at = np.concatenate([[0], np.cumsum(wide)])
-    counts = np.bincount(wide_at[doc] + ((keys >> np.uint64(40)).astype(np.int64) & (wide[doc] - 1)), minlength=wide_at[-1])
-    counts = np.minimum(counts, 255).astype(np.uint8)
     rank = np.zeros(len(keys), np.int64)
     if len(order.frequent) and len(keys):
         place = np.minimum(np.searchsorted(order.frequent, keys), len(order.frequent) - 1)
         rank = np.where(order.frequent[place] == keys, order.frequency[place], 0)
         if rank.any():
-            by = np.lexsort((rank, doc))
+            by = np.lexsort((rank, np.repeat(np.arange(len(n)), n)))
             keys, rank = keys[by], rank[by]
-    del doc
     length = np.where(n > 0, n - at_least(n, order.percent) + 1, 0)
     who = np.repeat(np.arange(len(n)), length)
     position = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
@@ -159,8 +184,67 @@ def postings(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
     again = np.repeat(np.arange(len(who)), parts)
     other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
     pair = np.minimum(own[again], other) * (1 << 20) + np.maximum(own[again], other)
-    who, position = who[again], position[again]
     cell = W.mix(key[again] ^ W.mix(pair.astype(np.uint64) + np.uint64(1)))
+    return who[again], position[again], cell
+
+
+def shared_cells(docs: DataFrame, order: Order, about: int) -> tuple[np.ndarray, float]:
+    """A bit filter of bounded size that passes all cells of two postings at least, and the share of the postings that
+    it passes. Tasks own ranges of its bits; ``about`` so many postings are there."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
+    bits = min(max(FILTER_BITS[0], 1 << (4 * about).bit_length()), FILTER_BITS[1])
+    ranges = 1 << max(0, min((about // CELLS).bit_length(), 14))
+    width = bits // ranges
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            parts = [np.zeros(0, np.uint64)]
+            for _, _, keys, at in sets_of(batch.column(0), sent.value.width):
+                names = name_of(keys, at)
+                new, n = first_of(names, seen), np.diff(at)
+                parts.append(cells_of(sent.value, keys[np.repeat(new, n)], np.concatenate([[0], np.cumsum(n[new])]), names[new])[2])
+            cell = np.concatenate(parts)
+            range_ = in_filter(cell, bits) // width
+            by = np.argsort(range_, kind="stable")
+            ends = np.searchsorted(range_[by], np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([cell[by[ends[k] : ends[k + 1]]].tobytes() for k in some.tolist()], pa.binary())], ["range", "cells"])
+
+    def counted(key: tuple, rows: pa.Table) -> pa.Table:
+        cells = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows["cells"]]))
+        same = cells[1:] == cells[:-1]
+        shared = in_filter(cells[1:][same], bits) - key[0].as_py() * width
+        there = np.zeros(width, np.uint8)
+        there[shared] = 1
+        passing = int(there[in_filter(cells, bits) - key[0].as_py() * width].sum())
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary()), "n": [len(cells)], "passing": [passing]})
+
+    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(dealt), "range long, cells binary")
+    filter_, n, passing = np.zeros(bits // 8, np.uint8), 1, 0
+    with shuffles_end(docs.sparkSession):
+        found = rows.groupBy("range").applyInArrow(lean_key(counted), "range long, bits binary, n long, passing long").collect()
+    for r in found:
+        filter_[r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+        n, passing = n + r["n"], passing + r["passing"]
+    return filter_, passing / n
+
+
+def postings(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings and, once each, the sets they are of)."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    # counts by a set's size; 255 stands for 255 and more
+    wide = COUNTS << class_of(n)
+    wide_at = np.concatenate([[0], np.cumsum(wide)])
+    counts = np.bincount(wide_at[doc] + ((keys >> np.uint64(40)).astype(np.int64) & (wide[doc] - 1)), minlength=wide_at[-1])
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    del doc
+    who, position, cell = cells_of(order, keys, at, names)
+    if order.shared is not None:
+        place = in_filter(cell, 8 * len(order.shared))
+        met = (order.shared[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        who, position, cell = who[met], position[met], cell[met]
     bucket = (cell % np.uint64(order.buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[by], np.arange(order.buckets + 1))
@@ -173,7 +257,7 @@ def postings(order: Order, keys: np.ndarray, at: np.ndarray, names: np.ndarray)
         yield b, len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+def unpacked(blob: bytes | pa.Buffer) -> tuple[np.ndarray, ...]:
     blob = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     out, at = [], 16
@@ -221,11 +305,22 @@ class Sketches:
         return out
 
 
-def may_link(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, ...]:
-    """A spanning forest of the pairs that may be linked: two set names each, and the sets' sizes."""
-    parts = [unpacked(b) for b in blobs]
+def counts_of(blob: bytes | pa.Buffer, some: np.ndarray) -> np.ndarray:
+    """Counts of some of a blob's sets."""
+    _, n, *_, counts = unpacked(blob)
+    wide = COUNTS << class_of(n)
+    return counts[ragged((np.cumsum(wide) - wide)[some], wide[some])]
+
+
+def may_link(blobs: list[bytes] | list[pa.Buffer], percent: int, step: int = 1 << 15) -> tuple[np.ndarray, ...]:
+    """A spanning forest of the pairs that may be linked: two set names each, and the sets' sizes.
+
+    Most cells are of one set. So blobs are unpacked one by one, first without sketches, then once more for the sketches
+    of the sets that meet any other.
+    """
+    parts = [tuple(x.copy() for x in unpacked(b)[:5]) for b in blobs]
     base = np.cumsum([0] + [len(p[0]) for p in parts])
-    names, sizes, cells, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 5))
+    names, sizes, cells = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
     positions = np.concatenate([p[4] for p in parts])
     sets = np.concatenate([p[3].astype(np.int32) + np.int32(b) for p, b in zip(parts, base, strict=False)])
     del parts
@@ -235,9 +330,11 @@ def may_link(blobs: list[bytes], percent: int, step: int = 1 << 15) -> tuple[np.
     nothing = np.zeros(0, np.int64)
     if not len(order):
         return nothing, nothing, nothing, nothing
-    sketches = Sketches(sizes, flat)
-    del flat
-    order = order[np.lexsort((names[sets[order]], sizes[sets[order]], cells[order]))]
+    meet, sets = np.unique(sets[order], return_inverse=True)
+    names, sizes, cells, positions = names[meet], sizes[meet], cells[order], positions[order]
+    places = np.searchsorted(meet, base)
+    sketches = Sketches(sizes, np.concatenate([counts_of(b, meet[i:j] - low) for b, low, i, j in zip(blobs, base[:-1], places[:-1], places[1:], strict=True) if i < j]))
+    order = np.lexsort((names[sets], sizes[sets], cells))
     # equal sets from different tasks count once in a cell
     cell, name = cells[order], names[sets[order]]
     new = np.ones(len(order), bool)
@@ -314,17 +411,29 @@ def root_links(docs: DataFrame, order: Order) -> DataFrame:
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        # with more buckets more sets are packed together, as each blob has its costs
+        enough = min(POSTED[0] * sent.value.buckets, POSTED[1])
+
+        def packed() -> pa.RecordBatch:
+            keys, n, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            made = list(postings(sent.value, keys, np.concatenate([[0], np.cumsum(n)]), names))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
+
         for batch in batches:
             for _, _, keys, at in sets_of(batch.column(0), sent.value.width):
                 names = name_of(keys, at)
                 new = first_of(names, seen)
                 n = np.diff(at)
-                keys, n = keys[np.repeat(new, n)], n[new]
-                made = list(postings(sent.value, keys, np.concatenate([[0], np.cumsum(n)]), names[new]))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["bucket", "packed"])
+                held.append((keys[np.repeat(new, n)], n[new], names[new]))
+                if sum(len(x[0]) for x in held) >= enough:
+                    yield packed()
+        if held:
+            yield packed()
 
     def met(rows: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("a", "b", "size_a", "size_b"), may_link(rows["packed"].to_pylist(), percent), strict=True)))
+        return pa.table(dict(zip(("a", "b", "size_a", "size_b"), may_link([x.as_buffer() for x in rows["packed"]], percent), strict=True)))
 
     rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(posted), "bucket long, packed binary")
     return save(rows.groupBy("bucket").applyInArrow(lean_group(met), "a long, b long, size_a long, size_b long"), "shingle-open")
@@ -645,7 +754,7 @@ def classes_of(docs: DataFrame, width: int, percent: int, bucket_postings: int =
     shingles or doc_id) and least (the component's least doc_id) of every row of ``docs``."""
     described = described_sets(docs, width)
     classes = described.where("n IS NULL").select("doc_id", "text_hash", "n_shingles", "name")
-    open_ = root_links(docs, order_of(described, width, percent, bucket_postings))
+    open_ = root_links(docs, order_of(described, width, percent, bucket_postings, docs))
     reps = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
     reps = save(reps, "shingle-names")  # one row for each set
     if not open_.isEmpty():

@@ -48,6 +48,18 @@ def lean_group(task: Callable) -> Callable:
     return run
 
 
+def lean_key(task: Callable) -> Callable:
+    """The same of a function of a key and its group's rows."""
+
+    def run(key, rows):
+        try:
+            return task(key, rows)
+        finally:
+            give_back()
+
+    return run
+
+
 def lean_pair(task: Callable) -> Callable:
     """The same of a function of a key and two groups' rows."""
 

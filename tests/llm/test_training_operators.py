@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +260,52 @@ def near_copies() -> list[tuple]:
     return rows
 
 
+def test_jaccard_join_bounds_the_memory_of_a_bucket():
+    random, percent, buckets = np.random.default_rng(7), 80, 40
+    order = jaccard_join.Order(5, percent, buckets, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sets = [np.unique(random.integers(0, 2**63, 2000, dtype=np.uint64)) for _ in range(1500)]
+    sets[900] = np.unique(np.concatenate([sets[100][:1950], sets[900][:40]]))
+    names = np.arange(len(sets)) * 10
+    blobs: dict[int, list[bytes]] = {}
+    for i in range(0, len(sets), 100):
+        some = sets[i : i + 100]
+        for bucket, blob in jaccard_join.postings(order, np.concatenate(some), np.cumsum([0] + [len(x) for x in some]), names[i : i + 100]):
+            blobs.setdefault(bucket, []).append(blob)
+    held = [sum(x.nbytes for blob in own for x in jaccard_join.unpacked(blob)) for own in blobs.values()]
+    links = set()
+    for own in blobs.values():
+        tracemalloc.start()
+        a, b, n, m = jaccard_join.may_link([pa.py_buffer(blob) for blob in own], percent)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        links |= {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+        assert set(n.tolist() + m.tolist()) <= {len(sets[100]), len(sets[900])}
+        assert most < 1.5 * max(held)
+    assert links == {(1000, 9000)}
+    # sketches fill buckets too, the more of them the more buckets there are: a bucket of 1.5 million postings had over 200 MB
+    texts, long = (2_600_000, 2_600_000 * 250, 256), (60_000, 60_000 * 9000, 16_000)
+    many = jaccard_join.bucket_count([texts, long], percent, 1_500_000)
+    postings = [sets * 0.21 * n / sets for sets, n, _ in (texts, long)]
+    places = [sets * min(0.21 * n / sets, many) for sets, n, _ in (texts, long)]
+    assert 16 * sum(postings) + places[0] * (16 + 64) + places[1] * (16 + 64 * 32) < 1.05 * many * 2**26
+    assert jaccard_join.bucket_count([(100, 3000, 60)], percent, 1_500_000) == 1
+    assert jaccard_join.bucket_count([], percent, 1_500_000) == 1
+
+
+def test_jaccard_join_posts_what_may_meet(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(60)]
+    texts[40] = texts[3].replace("w3x200 ", "")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    order = jaccard_join.order_of(jaccard_join.described_sets(frame, 5), 5, 80, 10**6, frame)
+    sets = [jaccard_join.W.shingles(*next(jaccard_join.W.documents(pa.array([t])))[2:], 5)[0] for t in texts]
+    posted = [x for _, blob in jaccard_join.postings(order, np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets]), np.arange(60)) for x in jaccard_join.unpacked(blob)[2].tolist()]
+    twice = [x for x, n in Counter(posted).items() if n > 1]
+    assert 40 < len(twice) and len(posted) < 2 * len(twice) + 0.1 * 60 * 60
+    assert jaccard_join.root_links(frame, order).count() == 1
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(frame, 5, 80).collect()}
+    assert out == {i: 3 if i == 40 else i for i in range(60)}
+
+
 @pytest.mark.parametrize(("width", "percent", "bucket_postings", "task_shingles"), [(4, 85, 700, 900), (4, 85, 10**6, 10**6), (5, 80, 5000, 300)])
 def test_jaccard_join_is_exact(spark, width, percent, bucket_postings, task_shingles):
     rows = near_copies() + [r for r in table() if r[0] is not None and r[0] != 307]
