@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from swarmscope.functions.shapes import equivalent_diameter, near_unity
 
 KEYS = ["image", "inst"]
+ELLIPSE = ["cx", "cy", "a", "b"]
+
+
+def ellipse_line(cx: Column, cy: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """x0 and x1 of an ellipse on a line ``y`` that crosses it."""
+    u = (F.col("y") - cy) / b
+    half = a * F.sqrt(1 - u * u)
+    return F.ceil(cx - half).cast("int"), (F.floor(cx + half) + 1).cast("int")
+
+
+def ellipse_lines(shapes: DataFrame) -> DataFrame:
+    """``shapes`` with a row for each of an ellipse's runs (y, x0, x1)."""
+    rows = shapes.withColumn("y", F.explode(F.sequence(F.floor(F.col("cy") - F.col("b")).cast("int"), F.ceil(F.col("cy") + F.col("b")).cast("int"))))
+    x0, x1 = ellipse_line(*map(F.col, ELLIPSE))
+    return rows.where(F.abs(F.col("y") - F.col("cy")) < F.col("b")).withColumns({"x0": x0, "x1": x1}).where("x1 > x0")
 
 
 def ellipse_runs(shapes: DataFrame) -> DataFrame:
     """Runs of ellipses (image, inst, cx, cy, a, b): semi-axes a along x and b along y."""
-    rows = shapes.withColumn("y", F.explode(F.sequence(F.floor(F.col("cy") - F.col("b")).cast("int"), F.ceil(F.col("cy") + F.col("b")).cast("int"))))
-    u = (F.col("y") - F.col("cy")) / F.col("b")
-    rows = rows.where(F.abs(F.col("y") - F.col("cy")) < F.col("b")).withColumn("half", F.col("a") * F.sqrt(1 - u * u))
-    runs = rows.select(*KEYS, "y", F.ceil(F.col("cx") - F.col("half")).cast("int").alias("x0"), (F.floor(F.col("cx") + F.col("half")) + 1).cast("int").alias("x1"))
-    return runs.where("x1 > x0")
+    return ellipse_lines(shapes).select(*KEYS, "y", "x0", "x1")
 
 
 def moments(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -82,6 +93,25 @@ def mask_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("image", "pred", "gt", "common", (F.col("common") / (F.col("pred_area") + F.col("gt_area") - F.col("common"))).alias("iou"))
 
 
+def ellipse_iou(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``mask_iou`` of the runs of ellipses, one for each image and inst. The ellipses of an image meet first, and only the
+    lines that two have in common are drawn: runs, of which an ellipse has many, are not moved."""
+
+    def sized(shapes: DataFrame, inst: str, mark: str) -> DataFrame:
+        area = ellipse_lines(shapes).groupBy(*KEYS, *ELLIPSE).agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+        return area.select("image", F.col("inst").alias(inst), *[F.col(c).alias(f"{mark}_{c}") for c in (*ELLIPSE, "area")])
+
+    low = lambda at, half: F.greatest(*(F.col(f"{m}_{at}") - F.col(f"{m}_{half}") for m in "pg"))
+    high = lambda at, half: F.least(*(F.col(f"{m}_{at}") + F.col(f"{m}_{half}") for m in "pg"))
+    both = sized(left, "pred", "p").join(sized(right, "gt", "g"), "image").where((low("cx", "a") <= high("cx", "a")) & (low("cy", "b") <= high("cy", "b")))
+    lines = both.withColumn("y", F.explode(F.sequence(F.floor(low("cy", "b")).cast("int"), F.ceil(high("cy", "b")).cast("int"))))
+    lines = lines.where(" AND ".join(f"abs(y - {m}_cy) < {m}_b" for m in "pg"))
+    (p0, p1), (g0, g1) = (ellipse_line(*(F.col(f"{m}_{c}") for c in ELLIPSE)) for m in "pg")
+    common = F.greatest(F.lit(0), F.least(p1, g1) - F.greatest(p0, g0))
+    sums = lines.groupBy("image", "pred", "gt").agg(F.sum(common).cast("long").alias("common"), F.first("p_area").alias("p"), F.first("g_area").alias("g")).where("common > 0")
+    return sums.select("image", "pred", "gt", "common", (F.col("common") / (F.col("p") + F.col("g") - F.col("common"))).alias("iou"))
+
+
 def moment_axes(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Full axes of the ellipse with a mask's second moments, and its angle in degrees from 0 to 180."""
     n = (F.col("x1") - F.col("x0")).cast("double")

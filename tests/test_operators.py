@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swarmscope.operators import distribution, evaluation, frames, grids, masks, reducers, rheology, rollup
+from swarmscope.plans import evaluations
 
 BUBBLES = "placement string, reactor_setting string, replicate string, burst_index int, image_number_in_burst int, model_used string, equivalent_diameter_mm double, bubble_volume_mm3 double, bubble_surface_area_mm2 double"
 S = "100 rpm 55 lmin 000 xanthan"
@@ -111,6 +112,25 @@ def test_masks_of_an_ellipse(spark):
     assert same["iou"] == 1 and same["common"] == m["area"]
 
 
+def test_ellipses_meet_before_their_lines_are_drawn(spark):
+    random = np.random.default_rng(5)
+    rows = [(i % 7 or None, i, *map(float, random.uniform([20, 20, 0.2, 0.2], [60, 60, 15, 9]).round(2))) for i in range(90)] + [(8, 1, 5.0, 5.0, 2.0, 2.0), (8, 2, 9.0, 5.0, 2.0, 2.0), (8, 3, 5.3, 5.5, 0.1, 0.1)]
+    left = spark.createDataFrame(rows, "image long, inst long, cx double, cy double, a double, b double")
+    right = left.withColumn("cx", F.col("cx") + 1.5)
+    want = masks.mask_iou(masks.ellipse_runs(left), masks.ellipse_runs(right))
+    assert sorted(map(tuple, masks.ellipse_iou(left, right).collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = evaluations.g16_mask_iou(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # runs are many times the input: only the rows of lineitem are shuffled
+    moved = [line for line in plan.splitlines() if "Exchange " in line]
+    assert moved and all("hashpartitioning(l_orderkey" in line for line in moved)
+
+
 def test_axes_and_polygons(spark):
     shape = spark.createDataFrame([(1, 1, 60.0, 50.0, 30.0, 12.0), (1, 2, 60.0, 50.0, 20.0, 20.0)], "image long, inst long, cx double, cy double, a double, b double")
     axes = {r["inst"]: r for r in masks.near_spherical(masks.ellipse_runs(shape)).collect()}
